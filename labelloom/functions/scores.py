@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,23 +15,32 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _powers(logits: Column) -> Column:
+    """Exponentials after the largest logit is subtracted, so that none overflows."""
+    return _with(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+
+
 def softmax(logits: Column | str) -> Column:
-    """Probabilities; the largest logit is subtracted first so that no exponential overflows."""
-    logits = _col(logits)
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = _sum(powers)
-    return F.transform(powers, lambda e: e / total)
+    """Probabilities of an array of logits."""
+
+    def shares(powers: Column) -> Column:
+        return _with(_sum(powers), lambda total: F.transform(powers, lambda e: e / total))
+
+    return _with(_col(logits), lambda x: _with(_powers(x), shares))
 
 
 def argmax(p: Column | str) -> Column:
     """Index of the largest value, the first one on ties."""
-    p = _col(p)
-    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+    return _with(_col(p), lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
 
 
 def negative_log_likelihood(p: Column | str, label: Column | str) -> Column:
@@ -40,9 +51,8 @@ def negative_log_likelihood(p: Column | str, label: Column | str) -> Column:
 
 def log_loss_of_logits(logits: Column | str, label: Column | str) -> Column:
     """The same loss taken straight from the logits."""
-    logits = _col(logits)
-    top = F.array_max(logits)
-    return top + F.log(_sum(F.transform(logits, lambda x: F.exp(x - top)))) - F.get(logits, _col(label))
+    label = _col(label)
+    return _with(_col(logits), lambda x: F.array_max(x) + F.log(_sum(_powers(x))) - F.get(x, label))
 
 
 def probability_map(p: Column | str, names: dict[int, str] = C.OFFLINE_NAMES) -> Column:

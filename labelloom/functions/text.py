@@ -63,7 +63,7 @@ def paraphrase_request(sentence: Column | str, name: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(collapse_whitespace(c)), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_col(c)), _RUN_OF_WHITESPACE), "")
 
 
 # Escapes of the unquoted line format, as (character, written form).

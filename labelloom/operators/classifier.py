@@ -35,7 +35,7 @@ def fit_classifier(
     train: DataFrame,
     validation: DataFrame | None = None,
     candidates: Sequence[dict] = DEFAULT_CANDIDATES,
-    features: int = 1 << 16,
+    features: int = 1 << 15,
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit every candidate on ``(text, label)`` and return the best by validation F1 with all figures.
 

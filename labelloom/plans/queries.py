@@ -19,7 +19,7 @@ from labelloom.functions import text as T
 from labelloom.operators import classifier, features, generated, metrics, paraphrase, positions, quota, splits, tables
 from labelloom.plans import corpus, training
 from labelloom.sources import csv, lines, sinks
-from labelloom.staging import new_path
+from labelloom.staging import new_path, stage
 from labelloom.streaming.quota import stream_accept_rows
 from labelloom.streaming.scoring import stream_score
 
@@ -122,7 +122,8 @@ def generated_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.split_stratified(feedback(spark, sf), ["doc_id", "line_no"], ["class"])
+    """Staged first: a split reads the keys twice before it reads the rows."""
+    return splits.split_stratified(stage(feedback(spark, sf), "feedback"), ["doc_id", "line_no"], ["class"])
 
 
 def paraphrase_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,10 +452,11 @@ def corpus_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled lines, cleaned, gated by length, capped per category, split by class, counted."""
     lines_ = feedback(spark, sf).withColumn("sentence", T.remove_quotes("sentence"))
     gated = lines_.filter(T.has_sentence_length("sentence")).withColumn("label", F.col("class"))
+    gated = stage(gated.select("category", "label", "class", "doc_id", "line_no"), "gated")
     categories = gated.select("category", "label").distinct()
     remaining = quota.remaining_quota(categories, quota.progress(gated.limit(0)), 50)
     accepted = quota.accept_to_quota(gated, remaining, ["doc_id", "line_no"], 50)
-    split = splits.split_stratified(accepted, ["doc_id", "line_no"], ["class"])
+    split = splits.split_stratified(stage(accepted, "accepted"), ["doc_id", "line_no"], ["class"])
     return split.groupBy("split", "class").agg(F.count("*").alias("n_rows"))
 
 
