@@ -28,6 +28,7 @@ def _read(spark: SparkSession, path: str, schema: str, dialect: str, multi_line:
         .option("escape", ESCAPES[dialect])
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", _RECORD)
+        .option("columnPruning", False)  # fields are counted on whole lines, whatever columns are used
         .csv(path)
     )
 
