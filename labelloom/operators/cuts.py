@@ -19,13 +19,20 @@ from labelloom.staging import stage
 Ranks = dict[str, Callable[[Column], Column]]
 
 
+def key_of(*columns: str | Column) -> Column:
+    """One column as it is, so that comparisons with it can reach the scan, or several as a struct."""
+    if len(columns) > 1:
+        return F.struct(*columns)
+    return F.col(columns[0]) if isinstance(columns[0], str) else columns[0]
+
+
 def range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Ranks, group_by: Sequence[str] = ()) -> DataFrame:
-    """Per group: the key, as a struct, at each rank in key order, or NULL past the end.
+    """Per group: the key, see :func:`key_of`, at each rank in key order, or NULL past the end.
 
     ``ranks`` maps a column name to a function of the group's row count.
     """
     keys = with_positions(df.select(*group_by, *order_by), order_by, group_by, "_pos", "_total")
-    return _cuts_at(keys, F.struct(*order_by), ranks, group_by)
+    return _cuts_at(keys, key_of(*order_by), ranks, group_by)
 
 
 def hash_cuts(
@@ -53,7 +60,7 @@ def hash_cuts(
     inside = Window.partitionBy(*group_by, "_chunk").orderBy("_hash", *key_by)
     keys = join_null_safe(hashed, chunks, [*group_by, "_chunk"])
     keys = keys.withColumn("_pos", F.col("_start") + F.row_number().over(inside) - 1)
-    return _cuts_at(keys, F.struct("_hash", *key_by), ranks, group_by)
+    return _cuts_at(keys, key_of("_hash", *key_by), ranks, group_by)
 
 
 def _cuts_at(keys: DataFrame, key: Column, ranks: Ranks, group_by: Sequence[str]) -> DataFrame:

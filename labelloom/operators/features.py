@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
 from labelloom.functions import text as T
 from labelloom.operators.joins import broadcast_if_small
+from labelloom.operators.positions import with_positions
 from labelloom.staging import stage
 
 
 def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Rows ``(token, n, id)``: the ``size`` most frequent words, ties by word, ids from 4 up.
 
-    Written to the shared folder, so that encoding does not count the words again. The window runs
-    over the ``size`` chosen words only.
+    Words are ranked as positions, so no task sees all of them. The result is written to the shared
+    folder, so that encoding does not count the words again.
     """
     counts = df.select(F.explode(T.tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    order = [F.col("n").desc(), F.col("token")]
-    chosen = counts.orderBy(*order).limit(size)
-    number = F.row_number().over(Window.orderBy(*order)) + (C.FIRST_TOKEN_ID - 1)
-    return stage(chosen.withColumn("id", number), "vocab")
+    ranked = with_positions(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"])
+    number = (F.col("pos") + C.FIRST_TOKEN_ID).cast("int").alias("id")
+    return stage(ranked.filter(F.col("pos") < size).select("token", "n", number), "vocab")
 
 
 def encode_fixed(

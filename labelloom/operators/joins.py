@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 200_000
+SMALL_BYTES = 32 << 20
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -18,9 +19,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows, else ``df`` as it is.
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether a table fits the bounds for a broadcast, both in rows and in bytes.
 
-    Counts at most ``rows + 1`` rows. Above the bound the join is left to Spark, which shuffles.
+    Looks at no more than ``rows + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = F.octet_length(F.struct(*df.columns).cast("string"))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return found["n"] <= rows and found["size"] <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when it is small. Above the bounds the join is left to Spark, which shuffles."""
+    return F.broadcast(df) if is_small(df, rows, size) else df

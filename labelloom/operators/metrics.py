@@ -58,8 +58,8 @@ def metrics_by_split(
     )
     if baseline is None:
         return measured
-    fixed = df.sparkSession.createDataFrame([(C.BASELINE_NAME, *baseline)], "dataset string, accuracy double, f1 double")
-    return measured.unionByName(fixed)
+    values = [F.lit(v).alias(n) for n, v in zip(("dataset", "accuracy", "f1"), (C.BASELINE_NAME, *baseline))]
+    return measured.unionByName(df.sparkSession.range(1).select(*values))
 
 
 def select_best(metrics: DataFrame, by: str = "val_f1", mode: str = "max", candidate: str = "candidate") -> DataFrame:

@@ -31,9 +31,21 @@ def join_paraphrases(df: DataFrame, answers: DataFrame, key: Sequence[str], answ
 
 
 def apply_paraphrases(
-    df: DataFrame, answers: DataFrame, key: Sequence[str], sentence: str = "sentence", answer: str = "answer"
+    df: DataFrame,
+    answers: DataFrame,
+    key: Sequence[str],
+    sentence: str = "sentence",
+    answer: str = "answer",
+    splits: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Replace each sentence by its cleaned answer; rows without an answer keep the original."""
+    """Replace each sentence by its cleaned answer; rows without an answer keep the original.
+
+    With ``splits`` only those splits are joined, and the others pass by without a shuffle.
+    """
+    if splits:
+        asked = F.col("split").isin(*splits)
+        rest = df.filter(~F.coalesce(asked, F.lit(False)))
+        return rest.unionByName(apply_paraphrases(df.filter(asked), answers, key, sentence, answer))
     joined = join_paraphrases(df, answers.withColumnRenamed(answer, "_answer"), key, "_answer")
     rewritten = F.coalesce(T.clean_answer("_answer"), F.col(sentence))
     return joined.withColumn(sentence, rewritten).select(*df.columns)

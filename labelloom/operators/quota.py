@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from labelloom import constants as C
 from labelloom.functions import text as T
-from labelloom.operators.cuts import attach_cuts, range_cuts, reaches
-from labelloom.operators.joins import broadcast_if_small
+from labelloom.operators.cuts import key_of, range_cuts
+from labelloom.operators.joins import is_small
 
 KEYS = ("category", "label")
-# Up to this quota the accepted rows of one category are few enough to be ranked in one task.
+# Up to this quota the accepted keys of one category are few enough to be ranked in one task.
 _RANKED_LIMIT = 10_000
 
 
 def category_table(spark: SparkSession, categories: dict[str, int] = C.CATEGORIES) -> DataFrame:
-    return spark.createDataFrame(list(categories.items()), "category string, label int")
+    entries = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
+    return spark.range(1).select(F.explode(entries).alias("category", "label"))
 
 
 def progress(sink: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -28,7 +29,7 @@ def progress(sink: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def join_progress(categories: DataFrame, done: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every category with its number of stored rows, 0 when it has none."""
-    joined = categories.join(broadcast_if_small(done), list(keys), "left")
+    joined = categories.join(done, list(keys), "left")
     return joined.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -58,21 +59,26 @@ def accept_to_quota(
 ) -> DataFrame:
     """The first ``remaining`` rows of each category in arrival order; finished categories give none.
 
-    ``arrival`` is unique and ``remaining`` never exceeds ``target``.
+    ``arrival`` is unique and ``remaining`` never exceeds ``target``. Only the arrival keys are ranked,
+    to find the last key each category accepts; the rows themselves are filtered without a shuffle.
     """
-    columns = batch.columns
-    open_rows = batch.join(broadcast_if_small(remaining), list(keys))
-    if target <= _RANKED_LIMIT:
-        accepted = _first_rows(open_rows, arrival, target, keys)
-    else:
-        accepted = _rows_before_cut(open_rows, arrival, keys)
-    return accepted.select(*columns)
+    small = is_small(remaining)
 
+    def hint(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
 
-def _first_rows(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequence[str]) -> DataFrame:
-    """Small quota: the first rows of every salt, then the first rows among those.
+    open_keys = batch.select(*keys, *arrival).join(hint(remaining), list(keys))
+    find = _last_of_first_rows if target <= _RANKED_LIMIT else _last_by_position
+    # at most one row per row of ``remaining``, so its size check holds for this one too
+    last = hint(find(open_keys, arrival, target, keys))
+    rows = batch.join(last, list(keys))
+    return rows.filter(F.col("_last").isNull() | (key_of(*arrival) <= F.col("_last"))).select(*batch.columns)
 
-    A category of any size is spread over the salts, and the literal bound lets Spark drop rows
+
+def _last_of_first_rows(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequence[str]) -> DataFrame:
+    """Small quota: the first keys of every salt, then the first keys among those.
+
+    A category of any size is spread over the salts, and the literal bound lets Spark drop keys
     past it before the shuffle.
     """
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -81,12 +87,10 @@ def _first_rows(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequ
         order = Window.partitionBy(*spread).orderBy(*arrival)
         rows = rows.withColumn("_rank", F.row_number().over(order))
         rows = rows.filter((F.col("_rank") <= target) & (F.col("_rank") <= F.col("remaining")))
-    return rows
+    return rows.groupBy(*keys).agg(F.max(key_of(*arrival)).alias("_last"))
 
 
-def _rows_before_cut(rows: DataFrame, arrival: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Large quota: find the arrival key at which each category is full and keep what comes before."""
-    groups = [*keys, "remaining"]
-    cuts = range_cuts(rows, arrival, {"_full": lambda n: F.col("remaining")}, groups)
-    cut_rows, cut = attach_cuts(rows, cuts, ["_full"], groups)
-    return cut_rows.filter(~F.coalesce(reaches(F.struct(*arrival), cut["_full"]), F.lit(False)))
+def _last_by_position(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequence[str]) -> DataFrame:
+    """Large quota: the key at the last accepted position, NULL while the category stays open."""
+    cuts = range_cuts(rows, arrival, {"_last": lambda n: F.col("remaining") - 1}, [*keys, "remaining"])
+    return cuts.select(*keys, "_last")

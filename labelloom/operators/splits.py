@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
-from labelloom.operators.cuts import Ranks, attach_cuts, hash_cuts, range_cuts, reaches
+from labelloom.operators.cuts import Ranks, attach_cuts, hash_cuts, key_of, range_cuts, reaches
 from labelloom.operators.positions import hash_of, with_hash_positions
 
 
@@ -34,7 +34,7 @@ def split_ordered(
 ) -> DataFrame:
     """Add ``split``: the first share of the rows in key order is train, the next val, the rest test."""
     cuts = range_cuts(df, order_by, _split_ranks(train, val))
-    return _label(df, cuts, F.struct(*order_by), (), df.columns)
+    return _label(df, cuts, key_of(*order_by), (), df.columns)
 
 
 def split_stratified(
@@ -47,7 +47,7 @@ def split_stratified(
 ) -> DataFrame:
     """Add ``split`` with the same shares inside every stratum, rows taken in hash order of their key."""
     cuts = hash_cuts(df, key_by, seed, _split_ranks(train, val), strata)
-    return _label(df, cuts, F.struct(hash_of(key_by, seed).alias("_hash"), *key_by), strata, df.columns)
+    return _label(df, cuts, key_of(hash_of(key_by, seed).alias("_hash"), *key_by), strata, df.columns)
 
 
 def tail_holdout(
@@ -62,7 +62,7 @@ def tail_holdout(
     """
     cuts = range_cuts(df, order_by, {"_tail_from": lambda n: n - _share(n, fraction)})
     _, cut = attach_cuts(df, cuts, ["_tail_from"], ())
-    in_tail = reaches(F.struct(*order_by), cut["_tail_from"])
+    in_tail = reaches(key_of(*order_by), cut["_tail_from"])
     tail = ["test"] if exclude_from_train else ["train", "test"]
     splits = F.when(in_tail, F.array(*[F.lit(s) for s in tail])).otherwise(F.array(F.lit("train")))
     return df.select("*", F.explode(splits).alias("split"))

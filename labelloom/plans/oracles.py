@@ -66,15 +66,16 @@ _SPLIT_FEEDBACK = f"""{_FEEDBACK}, numbered AS (
          count(*) OVER (PARTITION BY class) AS n FROM feedback), split_feedback AS (
   SELECT *, {_by_share("pos", "n")} AS split FROM numbered)"""
 
-_EVENTS = f"""stored_or_new AS (
+def _events(target: int) -> str:
+    return f"""stored_or_new AS (
   SELECT event_id, ts, event_type AS category, {_case("event_type", EVENT_LABELS)} AS label,
          event_type = 'error' AS is_error, ts < TIMESTAMP '2024-01-01 12:00:00' AS is_early FROM events),
   categories AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in EVENT_LABELS.items())}) t(category, label)),
   progress AS (SELECT category, label, count(*) AS n FROM stored_or_new WHERE is_error OR is_early GROUP BY ALL),
   remaining AS (
-    SELECT c.category, c.label, greatest({TARGET} - coalesce(n, 0), 0) AS remaining
+    SELECT c.category, c.label, greatest({target} - coalesce(n, 0), 0) AS remaining
     FROM categories c LEFT JOIN progress p ON c.category = p.category AND c.label = p.label
-    WHERE coalesce(n, 0) < {TARGET})"""
+    WHERE coalesce(n, 0) < {target})"""
 
 
 def _id(split: str, pos: str) -> str:
@@ -144,12 +145,19 @@ ORACLES: dict[str, str] = {
     "paraphrase_merge": f"""WITH {_FEEDBACK} SELECT doc_id, line_no, lang, class,
         CASE WHEN lang = 'en' THEN replace({_strip("""' "Again: ' || sentence || '" '""")}, '"', '') ELSE sentence END AS sentence
         FROM feedback""",
-    "quota_progress": f"WITH {_EVENTS} SELECT category, label, n FROM progress",
-    "quota_remaining": f"""WITH {_EVENTS} SELECT category, label, CAST(remaining AS BIGINT) AS remaining,
+    "paraphrase_splits": f"""WITH {_SPLIT_FEEDBACK} SELECT doc_id, line_no, lang, class, split,
+        CASE WHEN lang = 'en' AND split <> 'train' THEN replace({_strip("'Again: ' || sentence")}, '"', '') ELSE sentence END AS sentence
+        FROM split_feedback""",
+    "quota_progress": f"WITH {_events(TARGET)} SELECT category, label, n FROM progress",
+    "quota_remaining": f"""WITH {_events(TARGET)} SELECT category, label, CAST(remaining AS BIGINT) AS remaining,
         category || '_' || label AS category_key FROM remaining""",
-    "quota_total": f"""WITH {_EVENTS} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total
+    "quota_total": f"""WITH {_events(TARGET)} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total
         FROM categories c JOIN progress p ON c.category = p.category AND c.label = p.label""",
-    "quota_accept": f"""WITH {_EVENTS} SELECT e.event_id, e.category, e.label
+    "quota_accept": f"""WITH {_events(TARGET)} SELECT e.event_id, e.category, e.label
+        FROM stored_or_new e JOIN remaining r ON e.category = r.category AND e.label = r.label
+        WHERE e.is_error OR NOT e.is_early
+        QUALIFY row_number() OVER (PARTITION BY e.category, e.label ORDER BY e.ts, e.event_id) <= remaining""",
+    "quota_accept_large": f"""WITH {_events(20_050)} SELECT e.event_id, e.category, e.label
         FROM stored_or_new e JOIN remaining r ON e.category = r.category AND e.label = r.label
         WHERE e.is_error OR NOT e.is_early
         QUALIFY row_number() OVER (PARTITION BY e.category, e.label ORDER BY e.ts, e.event_id) <= remaining""",

@@ -137,6 +137,13 @@ def paraphrase_merge(spark: SparkSession, sf: str) -> DataFrame:
     return paraphrase.apply_paraphrases(rows, answers, ["doc_id", "line_no"])
 
 
+def paraphrase_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers for all English rows, taken over in val and test only."""
+    rows = split_feedback(spark, sf).select("doc_id", "line_no", "lang", "class", "split", "sentence")
+    answers = rows.filter("lang = 'en'").select("doc_id", "line_no", F.concat(F.lit("Again: "), "sentence").alias("answer"))
+    return paraphrase.apply_paraphrases(rows, answers, ["doc_id", "line_no"], splits=["val", "test"])
+
+
 # --- quotas ----------------------------------------------------------------------------------
 
 
@@ -159,6 +166,14 @@ def quota_accept(spark: SparkSession, sf: str) -> DataFrame:
     return quota.accept_to_quota(batch, remaining, ["ts", "event_id"], TARGET).drop("ts")
 
 
+def quota_accept_large(spark: SparkSession, sf: str) -> DataFrame:
+    """A quota too large to be ranked in one task; some categories stay open."""
+    target = 20_050
+    remaining = quota.remaining_quota(event_categories(spark), quota_progress(spark, sf), target)
+    batch = arriving_events(table(spark, sf, "events")).select("event_id", "ts", "category", "label")
+    return quota.accept_to_quota(batch, remaining, ["ts", "event_id"], target).drop("ts")
+
+
 def filled_categories(spark: SparkSession, sf: str) -> DataFrame:
     """Lines accepted from responses, 20 per category and label."""
     asked = responses(spark, sf)
@@ -464,8 +479,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         clean_text, nonblank_lines, label_map, parse_label, generated_lines,
-        paraphrase_requests, paraphrase_merge,
-        quota_progress, quota_remaining, quota_total, quota_accept, filled_categories,
+        paraphrase_requests, paraphrase_merge, paraphrase_splits,
+        quota_progress, quota_remaining, quota_total, quota_accept, quota_accept_large, filled_categories,
         split_ordered, tail_holdout, tail_holdout_disjoint, split_stratified, split_profile, preview,
         batches, ordered_batches, final_ids, ensure_columns, combine_sources,
         vocab, encode_fixed, training_columns,
