@@ -56,9 +56,10 @@ def fit_classifier(
 def predict(df: DataFrame, model: Transformer) -> DataFrame:
     """The rows with ``probabilities``, an array, and ``prediction``, the most likely class.
 
-    ``model`` is any transformer of ``text`` that adds ``probability`` as a vector or an array.
+    ``model`` is any transformer of ``text`` that adds ``probability`` as a vector or an array. A missing
+    text counts as an empty one.
     """
-    scored = model.transform(df)
+    scored = model.transform(df.withColumn("text", F.coalesce("text", F.lit(""))))
     is_array = isinstance(scored.schema["probability"].dataType, ArrayType)
     probabilities = F.col("probability") if is_array else vector_to_array("probability")
     return scored.withColumn("probabilities", probabilities).select(

@@ -80,7 +80,7 @@ def arriving_events(events: DataFrame) -> DataFrame:
 
 
 def _first_hours() -> Column:
-    return F.col("ts") < F.lit("2024-01-01 12:00:00").cast("timestamp")
+    return F.col("ts") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
 
 
 # --- text and labels -------------------------------------------------------------------------

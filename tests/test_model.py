@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom import constants as C
 from labelloom.operators import classifier, features, joins, metrics, tables
 from labelloom.plans import corpus, scoring, training
+from labelloom.streaming.scoring import stream_score
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +80,17 @@ def test_train_and_answer(spark, labelled):
         assert abs(sum(float(p) for p in r.probabilities.values()) - 1) < 2e-4
 
 
+def test_fitted_model_on_a_stream(spark, labelled, tmp_path):
+    model, _ = classifier.fit_classifier(labelled.withColumn("label", F.col("class").cast("double")), features=1 << 10)
+    requests = labelled.select("text", "class").union(spark.createDataFrame([(None, 1)], "text string, class int"))
+    requests.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    stream_score(stream, model, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    want = scoring.answer_requests(requests, model)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
 def test_fit_without_validation(labelled):
     rows = labelled.withColumn("label", F.col("class").cast("double"))
     model, figures = classifier.fit_classifier(rows, features=1 << 10)
