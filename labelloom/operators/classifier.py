@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -16,37 +16,59 @@ from labelloom import constants as C
 from labelloom.functions.labels import label_name
 from labelloom.functions.scores import argmax, probability_map
 from labelloom.operators.metrics import f1, select_best
+from labelloom.staging import stage
 
+FEATURES = 1 << 15
 DEFAULT_CANDIDATES = ({"reg": C.WEIGHT_DECAY, "passes": C.MAX_PASSES},)
 
 
-def _pipeline(reg: float, passes: int, features: int) -> Pipeline:
-    return Pipeline(stages=[
+def _counters(features: int) -> list[Transformer]:
+    """The stages that need no fitting: words, then hashed word counts."""
+    return [
         RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\s+"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-        IDF(inputCol="_counts", outputCol="_features"),
-        LogisticRegression(
-            featuresCol="_features", labelCol="label", family="multinomial", maxIter=passes, regParam=reg
-        ),
-    ])
+    ]
+
+
+def count_words(df: DataFrame, features: int = FEATURES) -> DataFrame:
+    """The rows with ``_counts`` in place of ``text``. A missing text counts as an empty one."""
+    counted = df.withColumn("text", F.coalesce("text", F.lit("")))
+    for counter in _counters(features):
+        counted = counter.transform(counted)
+    return counted.drop("text", "_words")
 
 
 def fit_classifier(
     train: DataFrame,
     validation: DataFrame | None = None,
     candidates: Sequence[dict] = DEFAULT_CANDIDATES,
-    features: int = 1 << 15,
+    features: int = FEATURES,
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit every candidate on ``(text, label)`` and return the best by validation F1 with all figures.
 
-    Without a validation table the first candidate is fitted and there are no figures.
+    Without a validation table the first candidate is fitted and there are no figures. Words are
+    counted once and written to the shared folder: all passes of all candidates read the counts.
     """
+
+    def counts(df: DataFrame) -> DataFrame:
+        return df if "_counts" in df.columns else stage(count_words(df.select("text", "label"), features), "counts")
+
+    train = counts(train)
+    idf = IDF(inputCol="_counts", outputCol="_features").fit(train)
+    weighted = idf.transform(train)
+    held_out = idf.transform(counts(validation)) if validation is not None else None
     models, rows = [], []
     for number, candidate in enumerate(candidates if validation is not None else candidates[:1]):
-        model = _pipeline(candidate["reg"], candidate["passes"], features).fit(train)
-        models.append(model)
-        if validation is not None:
-            rows.append((number, predict(validation, model).agg(f1()).first()[0]))
+        model = LogisticRegression(
+            featuresCol="_features",
+            labelCol="label",
+            family="multinomial",
+            maxIter=candidate["passes"],
+            regParam=candidate["reg"],
+        ).fit(weighted)
+        models.append(PipelineModel([*_counters(features), idf, model]))
+        if held_out is not None:
+            rows.append((number, model.transform(held_out).agg(f1()).first()[0]))
     if validation is None:
         return models[0], None
     figures = train.sparkSession.createDataFrame(rows, "candidate int, val_f1 double")
@@ -57,9 +79,12 @@ def predict(df: DataFrame, model: Transformer) -> DataFrame:
     """The rows with ``probabilities``, an array, and ``prediction``, the most likely class.
 
     ``model`` is any transformer of ``text`` that adds ``probability`` as a vector or an array. A missing
-    text counts as an empty one.
+    text counts as an empty one. Rows that hold ``_counts`` already go through the fitted stages only.
     """
-    scored = model.transform(df.withColumn("text", F.coalesce("text", F.lit(""))))
+    if "_counts" in df.columns:
+        scored = PipelineModel(model.stages[-2:]).transform(df)
+    else:
+        scored = model.transform(df.withColumn("text", F.coalesce("text", F.lit(""))))
     is_array = isinstance(scored.schema["probability"].dataType, ArrayType)
     probabilities = F.col("probability") if is_array else vector_to_array("probability")
     return scored.withColumn("probabilities", probabilities).select(

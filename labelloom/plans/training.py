@@ -8,21 +8,20 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.operators.classifier import DEFAULT_CANDIDATES, fit_classifier, predict
+from labelloom.operators.classifier import DEFAULT_CANDIDATES, FEATURES, count_words, fit_classifier, predict
 from labelloom.operators.metrics import metrics_by_split
-from labelloom.operators.tables import cast_text
 from labelloom.staging import stage
 
 
 def train_and_evaluate(
-    corpus: DataFrame, candidates: Sequence[dict] = DEFAULT_CANDIDATES, features: int = 1 << 15
+    corpus: DataFrame, candidates: Sequence[dict] = DEFAULT_CANDIDATES, features: int = FEATURES
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit on train, choose on val and measure all splits of ``(split, text, class)``.
 
-    The rows are read once per pass of every candidate, so they are written to the shared folder first.
+    The texts are read once; every later pass reads the word counts written to the shared folder.
     """
-    rows = cast_text(corpus, null_text="").select("split", "text", F.col("class").cast("double").alias("label"))
-    rows = stage(rows, "corpus")
-    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    rows = corpus.select("split", "text", F.col("class").cast("double").alias("label"))
+    counts = stage(count_words(rows, features), "counts")
+    train, val = counts.filter("split = 'train'"), counts.filter("split = 'val'")
     model, _ = fit_classifier(train, val, candidates, features)
-    return model, metrics_by_split(predict(rows, model))
+    return model, metrics_by_split(predict(counts, model))
