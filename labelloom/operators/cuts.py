@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.operators.joins import join_null_safe
-from labelloom.operators.positions import _CHUNK_DIGITS, hash_of, with_positions
+from labelloom.operators.positions import chunk_of, hash_of, with_positions
 from labelloom.staging import stage
 
 Ranks = dict[str, Callable[[Column], Column]]
 
+# Hash cuts count rows per group and per first hex digits of the hash: 16 ** 3 chunks of each group.
+_CUT_DIGITS = 3
+
 
 def key_of(*columns: str | Column) -> Column:
     """One column as it is, so that comparisons with it can reach the scan, or several as a struct."""
@@ -36,15 +39,20 @@ def range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Ranks, group_by: S
 
 
 def hash_cuts(
-    df: DataFrame, key_by: Sequence[str], seed: int, ranks: Ranks, group_by: Sequence[str] = ()
+    df: DataFrame,
+    key_by: Sequence[str],
+    seed: int | str,
+    ranks: Ranks,
+    group_by: Sequence[str] = (),
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Like :func:`range_cuts` in hash order, without sorting the keys.
 
     Counting rows per group and hash prefix tells which chunk holds each rank; only the rows of
     those few chunks are ranked.
     """
-    hashed = df.select(*group_by, *key_by, hash_of(key_by, seed).alias("_hash"))
-    hashed = hashed.withColumn("_chunk", F.substring("_hash", 1, _CHUNK_DIGITS))
+    hashed = df.select(*group_by, *key_by, hash_of(key_by, seed, method).alias("_hash"))
+    hashed = hashed.withColumn("_chunk", chunk_of("_hash", _CUT_DIGITS, method))
     group = Window.partitionBy(*group_by)
     upto = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     sizes = hashed.groupBy(*group_by, "_chunk").agg(F.count("*").alias("_n"))

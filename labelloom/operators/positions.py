@@ -61,19 +61,28 @@ def with_positions(
     return _number(staged, group_by, ["_part"], pos, total).drop("_part")
 
 
-def hash_of(key_by: Sequence[str], seed: int | str) -> Column:
-    """A hash of the key that any engine can repeat: MD5 of the key parts and the seed joined by '-'."""
-    return F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key_by], F.lit(str(seed))))
+def hash_of(key_by: Sequence[str], seed: int | str, method: str = "xxhash64") -> Column:
+    """A hash of key and seed: ``xxhash64``, or ``md5`` of all parts joined by '-', which other engines can repeat."""
+    if method == "md5":
+        return F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key_by], F.lit(str(seed))))
+    return F.xxhash64(*key_by, F.lit(str(seed)))
 
 
-def with_hash_positions(df: DataFrame, key_by: Sequence[str], seed: int | str, pos: str = "pos") -> DataFrame:
+def chunk_of(hashed: str, digits: int, method: str = "xxhash64") -> Column:
+    """The first hex digits of a hash. They rise with the hash."""
+    return F.substring(hashed, 1, digits) if method == "md5" else F.shiftright(hashed, 64 - 4 * digits)
+
+
+def with_hash_positions(
+    df: DataFrame, key_by: Sequence[str], seed: int | str, pos: str = "pos", method: str = "xxhash64"
+) -> DataFrame:
     """Add the 0-based position of each row in hash order. ``key_by`` must be unique.
 
     Hashes spread evenly, so their first digits are the chunks and nothing has to be sampled or
     written: one narrow count of at most 65,536 chunks, then one shuffle of the rows.
     """
-    hashed = df.withColumn("_hash", hash_of(key_by, seed))
-    hashed = hashed.withColumn("_chunk", F.substring("_hash", 1, _CHUNK_DIGITS))
+    hashed = df.withColumn("_hash", hash_of(key_by, seed, method))
+    hashed = hashed.withColumn("_chunk", chunk_of("_hash", _CHUNK_DIGITS, method))
     sizes = hashed.groupBy("_chunk").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))

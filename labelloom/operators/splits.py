@@ -44,10 +44,11 @@ def split_stratified(
     seed: int = 0,
     train: float = C.TRAIN_FRACTION,
     val: float = C.VAL_FRACTION,
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Add ``split`` with the same shares inside every stratum, rows taken in hash order of their key."""
-    cuts = hash_cuts(df, key_by, seed, _split_ranks(train, val), strata)
-    return _label(df, cuts, key_of(hash_of(key_by, seed).alias("_hash"), *key_by), strata, df.columns)
+    cuts = hash_cuts(df, key_by, seed, _split_ranks(train, val), strata, method)
+    return _label(df, cuts, key_of(hash_of(key_by, seed, method).alias("_hash"), *key_by), strata, df.columns)
 
 
 def tail_holdout(
@@ -69,10 +70,15 @@ def tail_holdout(
 
 
 def shuffle_into_batches(
-    df: DataFrame, key_by: Sequence[str], batch_size: int = C.BATCH_SIZE, seed: int = 0, epoch: int = 0
+    df: DataFrame,
+    key_by: Sequence[str],
+    batch_size: int = C.BATCH_SIZE,
+    seed: int = 0,
+    epoch: int = 0,
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Add ``pos`` and ``batch``: rows in a random order that is fixed by seed and epoch."""
-    shuffled = with_hash_positions(df, key_by, f"{seed}-{epoch}")
+    shuffled = with_hash_positions(df, key_by, f"{seed}-{epoch}", method=method)
     return in_batches(shuffled, batch_size)
 
 

@@ -123,7 +123,7 @@ def generated_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def split_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Staged first: a split reads the keys twice before it reads the rows."""
-    return splits.split_stratified(stage(feedback(spark, sf), "feedback"), ["doc_id", "line_no"], ["class"])
+    return splits.split_stratified(stage(feedback(spark, sf), "feedback"), ["doc_id", "line_no"], ["class"], method="md5")
 
 
 def paraphrase_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +210,7 @@ def preview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.shuffle_into_batches(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
+    return splits.shuffle_into_batches(table(spark, sf, "documents").select("doc_id"), ["doc_id"], method="md5")
 
 
 def ordered_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +386,7 @@ def parquet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     rows = splits.split_ordered(table(spark, sf, "documents"), ["doc_id"])
     path = new_path(spark, "corpus")
     sinks.write_corpus(rows.select("split", F.col("text").alias("sentence"), F.col("lang").alias("sentiment")), path)
-    return spark.read.parquet(path).filter("split <> 'train'").select("split", "sentence", "sentiment")
+    return spark.read.parquet(path).select("split", "sentence", "sentiment")
 
 
 def final_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,7 +471,7 @@ def corpus_slice(spark: SparkSession, sf: str) -> DataFrame:
     categories = gated.select("category", "label").distinct()
     remaining = quota.remaining_quota(categories, quota.progress(gated.limit(0)), 50)
     accepted = quota.accept_to_quota(gated, remaining, ["doc_id", "line_no"], 50)
-    split = splits.split_stratified(stage(accepted, "accepted"), ["doc_id", "line_no"], ["class"])
+    split = splits.split_stratified(stage(accepted, "accepted"), ["doc_id", "line_no"], ["class"], method="md5")
     return split.groupBy("split", "class").agg(F.count("*").alias("n_rows"))
 
 

@@ -44,10 +44,19 @@ def test_positions_in_groups(skewed):
         assert {r.n for r in members} == {len(members)}
 
 
-def test_hash_positions(skewed):
-    rows = positions.with_hash_positions(skewed, ["key"], 3).collect()
-    ordered = sorted(rows, key=lambda r: hashlib.md5(f"{r.key}-3".encode()).hexdigest())
-    assert [r.pos for r in ordered] == list(range(5000))
+def rank_of(skewed, seed, method):
+    """Key to its place in hash order."""
+    if method == "md5":
+        hashes = [(hashlib.md5(f"{r.key}-{seed}".encode()).hexdigest(), r.key) for r in skewed.collect()]
+    else:
+        hashes = skewed.select(F.xxhash64("key", F.lit(str(seed))), "key").collect()
+    return {key: place for place, (_, key) in enumerate(sorted(map(tuple, hashes)))}
+
+
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_hash_positions(skewed, method):
+    rows = positions.with_hash_positions(skewed, ["key"], 3, method=method).collect()
+    assert {r.key: r.pos for r in rows} == rank_of(skewed, 3, method)
 
 
 @pytest.mark.parametrize("n,want", [(10, (8, 1, 1)), (5, (4, 0, 1)), (1, (0, 0, 1)), (0, (0, 0, 0)), (1000, (800, 100, 100))])
@@ -79,12 +88,14 @@ def test_tail_holdout(spark, n, tail):
     assert sorted(r.id for r in apart if r.split == "test") == list(range(n - tail, n))
 
 
-def test_split_stratified(skewed):
-    rows = splits.split_stratified(skewed, ["key"], ["g"], seed=5).collect()
+@pytest.mark.parametrize("method", ["md5", "xxhash64"])
+def test_split_stratified(skewed, method):
+    place = rank_of(skewed, 5, method)
+    rows = splits.split_stratified(skewed, ["key"], ["g"], seed=5, method=method).collect()
     assert len(rows) == 5000
     for members in by_group(rows).values():
         n = len(members)
-        ordered = sorted(members, key=lambda r: (hashlib.md5(f"{r.key}-5".encode()).hexdigest(), r.key))
+        ordered = sorted(members, key=lambda r: place[r.key])
         train, val = int(0.8 * n), int(0.1 * n)
         assert [r.split for r in ordered] == ["train"] * train + ["val"] * val + ["test"] * (n - train - val)
 
