@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
+from labelloom.functions.text import strip_text
 
 
 def _col(c: Column | str) -> Column:
@@ -33,5 +34,10 @@ def label_from_name(c: Column | str, names: dict[int, str] = C.OFFLINE_NAMES) ->
 
 
 def parse_label(c: Column | str, default: int = C.DEFAULT_LABEL) -> Column:
-    """Integer with optional sign and white space around it; anything else is ``default``."""
-    return F.coalesce(_col(c).try_cast("int"), F.lit(default))
+    """Integer with optional sign and white space around it; anything else is ``default``.
+
+    The pattern comes first because a cast that fails is slow.
+    """
+    text = strip_text(c)
+    number = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
+    return F.coalesce(number, F.lit(default))

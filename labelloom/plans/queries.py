@@ -238,13 +238,19 @@ def combine_sources(spark: SparkSession, sf: str) -> DataFrame:
         return table(spark, sf, name).select(F.col(key).alias("key"), "text")
 
     return tables.combine_sources(
-        documents=rows("documents", "doc_id"), conversations=rows("conversations", "conv_id"), benchmark=rows("benchmark", "item_id")
+        documents=rows("documents", "doc_id"),
+        conversations=rows("conversations", "conv_id"),
+        benchmark=rows("benchmark", "item_id"),
     )
 
 
 # --- encoding --------------------------------------------------------------------------------
 
 
+def _as_text(*arrays: str) -> list[Column]:
+    return [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in arrays]
+
+
 def vocab(spark: SparkSession, sf: str) -> DataFrame:
     return features.build_vocab(table(spark, sf, "documents"), VOCAB_SIZE)
 
@@ -252,14 +258,14 @@ def vocab(spark: SparkSession, sf: str) -> DataFrame:
 def encode_fixed(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
     encoded = features.encode_fixed(documents, vocab(spark, sf), ["doc_id"])
-    return encoded.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")])
+    return encoded.select("doc_id", *_as_text("input_ids", "attention_mask"))
 
 
 def training_columns(spark: SparkSession, sf: str) -> DataFrame:
     rows = labelled_documents(spark, sf).select("doc_id", "text", "class")
     encoded = features.encode_fixed(rows, vocab(spark, sf), ["doc_id"], C.SERVING_MAX_LEN, keep=["class"])
     ready = tables.to_training_columns(encoded)
-    return ready.select(*[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask")], "labels")
+    return ready.select(*_as_text("input_ids", "attention_mask"), "labels")
 
 
 # --- scores and metrics ----------------------------------------------------------------------
@@ -344,7 +350,8 @@ def fit_and_score(spark: SparkSession, sf: str) -> DataFrame:
 def fit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Measured figures beside the share of the most frequent class."""
     rows = split_feedback(spark, sf).withColumnRenamed("sentence", "text")
-    _, measured = training.train_and_evaluate(rows, [{"reg": C.WEIGHT_DECAY, "passes": C.MAX_PASSES}, {"reg": 0.1, "passes": C.MAX_PASSES}])
+    candidates = [{"reg": reg, "passes": C.MAX_PASSES} for reg in (C.WEIGHT_DECAY, 0.1)]
+    _, measured = training.train_and_evaluate(rows, candidates)
     counts = rows.groupBy("class").count()
     majority = counts.agg((F.max("count") / F.sum("count")).alias("accuracy"))
     return measured.unionByName(majority.select(F.lit("Majority").alias("dataset"), "accuracy", F.col("accuracy").alias("f1")))

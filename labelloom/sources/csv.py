@@ -79,7 +79,12 @@ def read_csv_dir(spark: SparkSession, path: str, dialect: str = "quoted", multi_
         .option("escape", ESCAPES[dialect])
         .option("multiLine", multi_line)
         .csv(path)
-        .select("sentence", "sentiment", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("source_file"))
+        .select(
+            "sentence",
+            "sentiment",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_name").alias("source_file"),
+        )
     )
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
     first_blocks = lines.select("value", F.monotonically_increasing_id().alias("_at"), *_file()).filter("_block = 0")

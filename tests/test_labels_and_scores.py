@@ -35,8 +35,8 @@ def test_label_names(spark):
 
 
 def test_parse_label(spark):
-    texts = [" 2 ", "+2", "-1", "2.0", "", "x", None, "7"]
-    assert many(spark, texts, L.parse_label("v")) == [2, 2, -1, 1, 1, 1, 1, 7]
+    texts = [" 2 ", "+2", "-1", "2.0", "", "x", None, "7", "\xa02\t\n", "2\x00", "+", "99999999999"]
+    assert many(spark, texts, L.parse_label("v")) == [2, 2, -1, 1, 1, 1, 1, 7, 2, 1, 1, 1]
 
 
 def test_softmax_and_argmax(spark):
