@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, packing
+from labelloom.llm import bpe, neardup, packing
 from labelloom.llm.common import table
 
 
@@ -25,5 +25,9 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op7_bpe_round_trip)}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op7_bpe_round_trip, op9_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
