@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, neardup, packing
+from labelloom.llm import bpe, neardup, packing, quality
 from labelloom.llm.common import table
 
 
@@ -29,5 +29,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op7_bpe_round_trip, op9_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select("doc_id", *[f"_quality.{n}" for n in names])
+
+
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql()}
