@@ -1,0 +1,218 @@
+"""Secrets in texts, with DataFrame functions only.
+
+Base kinds are patterns. The method adds strings whose characters are as mixed as those of random
+keys: Shannon entropy in a window that slides over each candidate string, with a limit for each
+character class. The window's sum of c * log2(c) over its character counts c is carried from place to
+place: a step takes one character out and one in, so only their two counts matter. The sum is in
+whole millionths, so results do not depend on the order of floating-point sums. Strings on the allow
+list and spans inside base ones are not reported.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from labelloom.llm.common import whole_text
+
+#: Fixed patterns of the base kinds, and how they are matched: kind, words of either case, pattern, group to measure, least length.
+_WORDS = ("password", "passwd", "secret", "token", "api_?key")
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+ASSIGN = f"({'|'.join(map(_either_case, _WORDS))})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = "AKIA[A-Z0-9]{12,}"
+HEX = "[0-9a-f]{32,}"
+LEAST_ASSIGNED = 8
+#: Order of kinds among spans with equal starts.
+KINDS = ("assign", "access", "hex", "entropy")
+
+#: Candidates for the entropy scan, the window, and the least bits per character by class: hexadecimal, any other.
+CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
+LEAST_BITS = {"^[0-9A-Fa-f]+$": 3.0, "": 3.7}
+#: Strings that are no secrets however mixed: no digit or no letter, one case of letters between dashes or slashes (paths,
+#: slugs, identifiers), and well-known runs of characters.
+ALLOWED = (
+    "^[^0-9]*$",
+    "^[^A-Za-z]*$",
+    "^[0-9]*[a-z_]+[0-9]*([/_=+-]+[0-9]*[a-z_]*[0-9]*)*$",
+    "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]",
+    "abcdefghijklmnop",
+    "ABCDEFGHIJKLMNOP",
+    "0123456789",
+    "^sha(256|384|512)-",
+)
+MARK = "[SECRET]"
+
+
+def _scaled(c: int) -> int:
+    return round(c * math.log2(c) * 1_000_000) if c else 0
+
+
+#: c * log2(c) in millionths for counts 0 .. WINDOW, and the largest sum that still has so many bits per character.
+TERMS = [_scaled(c) for c in range(WINDOW + 1)]
+
+
+def most_sum(bits: float) -> int:
+    return round(WINDOW * (math.log2(WINDOW) - bits) * 1_000_000)
+
+
+def _places(text: Column, pattern: str) -> Column:
+    """``start, end, found`` of all matches, leftmost first: the gaps between them, from a split, give the places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+
+    def step(state: Column, i: Column) -> Column:
+        start = state["at"] + F.length(F.element_at(gaps, i))
+        match = F.element_at(found, i)
+        end = start + F.length(match)
+        place = F.struct(start.alias("start"), end.alias("end"), match.alias("found"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(place)).alias("out"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda s: s["out"])
+    return F.when(F.size(found) > 0, walked).otherwise(zero["out"])
+
+
+def _mixed_part(place: Column) -> Column:
+    """From the first to the last window of a candidate with enough bits, or null."""
+    chars = F.split(place["found"], "")
+    terms = F.array(*[F.lit(t) for t in TERMS])
+    limit = F.lit(most_sum(LEAST_BITS[""]))
+    for pattern, bits in LEAST_BITS.items():
+        if pattern:
+            limit = F.when(place["found"].rlike(pattern), most_sum(bits)).otherwise(limit)
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def count(window: Column, char: Column) -> Column:
+        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+
+    def step(state: Column, i: Column) -> Column:
+        begin = F.greatest(i - WINDOW + 1, F.lit(1))
+        window = F.array_join(F.slice(chars, begin, i - begin), "")  # what stays when one leaves and one enters
+        into = count(window, F.element_at(chars, i))
+        gain = F.element_at(terms, into + 2) - F.element_at(terms, into + 1)
+        out = count(window, F.element_at(chars, F.greatest(i - WINDOW, F.lit(1))))
+        loss = F.when(i > WINDOW, F.element_at(terms, out + 2) - F.element_at(terms, out + 1)).otherwise(0)
+        total = state["sum"] + gain - loss
+        hot = (i >= WINDOW) & (total <= limit)
+        return F.struct(
+            total.alias("sum"),
+            F.coalesce(state["first"], F.when(hot, i - WINDOW)).alias("first"),
+            F.when(hot, i).otherwise(state["last"]).alias("last"),
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.length(place["found"])), zero, step)
+    return F.transform(F.array(walked), lambda w: F.when(w["first"].isNotNull(), _span(place["start"] + w["first"], 3, place["start"] + w["last"])))[0]
+
+
+def _span(start: Column, kind: int, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(kind).alias("k"), F.lit(KINDS[kind]).alias("kind"), end.alias("end"))
+
+
+def _kept(places: Column, kind: int) -> Column:
+    return F.transform(places, lambda p: _span(p["start"], kind, p["end"]))
+
+
+def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``_secrets``: ``start, k, kind, end`` of every span, by start, then kind.
+
+    Places are code points, ends exclusive. Null and empty texts have no spans. Spans of different kinds may overlap;
+    those of one kind do not. Repeated rows are scanned alike. An existing ``_secrets`` is replaced; other columns are kept
+    whatever their names. An empty table stays empty.
+    """
+    own = [F.col(c) for c in docs.columns if c != "_secrets"]
+    rows = docs.select(*own, F.struct(whole_text(docs, text).alias("t")).alias("_text"))
+    t = F.col("_text.t")
+    long_enough = lambda p: F.length(F.regexp_extract(p["found"], ASSIGN, 2)) >= LEAST_ASSIGNED
+    base = F.concat(_kept(F.filter(_places(t, ASSIGN), long_enough), 0), _kept(_places(t, ACCESS), 1), _kept(_places(t, HEX), 2))
+    rows = rows.withColumns({"_base": base, "_found": _places(t, CANDIDATE)})
+
+    def suspicious(p: Column) -> Column:
+        allowed = F.lit(False)
+        for pattern in ALLOWED:
+            allowed = allowed | p["found"].rlike(pattern)
+        return ~allowed
+
+    mixed = F.filter(F.transform(F.filter("_found", suspicious), _mixed_part), lambda s: s.isNotNull())
+    inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    rows = rows.withColumn("_mixed", F.when(F.size("_found") > 0, F.filter(mixed, lambda s: ~inside(s))))
+    spans = F.array_sort(F.concat("_base", F.coalesce("_mixed", F.filter("_base", lambda b: F.lit(False)))))
+    return rows.select(*own, spans.alias("_secrets"))
+
+
+def listed(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every stretch of the text that spans cover replaced by ``MARK``; null texts stay null."""
+    found = scanned(docs, text)
+    t = F.col(text)
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        before = F.substring(t, state["at"] + 1, s["start"] - state["at"])
+        fresh = s["start"] >= state["at"]  # a span that overlaps the one before only moves its end
+        out = F.when(fresh, F.concat(state["out"], before, F.lit(MARK))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    def finish(state: Column) -> Column:
+        return F.concat(state["out"], F.substring(t, state["at"] + 1, F.length(t) - state["at"]))
+
+    clean = F.when(F.size("_secrets") > 0, F.aggregate("_secrets", zero, step, finish)).otherwise(t)
+    return found.withColumn(text, clean).drop("_secrets")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """Counts of the base kinds, the hash of the base spans, and all spans."""
+    of = lambda k: F.filter("_secrets", lambda s: s["k"] == k)
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
+        F.sha2(listed(F.filter("_secrets", lambda s: s["k"] < 3)), 256).alias("base_sha256"),
+        listed(F.col("_secrets")).alias("spans"),
+    )
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for :func:`digest` over ``documents``; windows are counted one by one instead of step by step."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def places(name: str, pattern: str) -> str:
+        return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(text, {quoted(pattern)}) AS m, string_split_regex(text, {quoted(pattern)}) AS g FROM d),
+{name}_u AS (SELECT doc_id, unnest(m) AS found, unnest(g[:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM {name}_m WHERE len(m) > 0),
+{name} AS (SELECT doc_id, found, (sum(length(gap) + length(found)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop,
+           stop - length(found) AS start FROM {name}_u)"""
+
+    allowed = " OR ".join(f"regexp_matches(found, {quoted(p)})" for p in ALLOWED)
+    terms = ", ".join(map(str, TERMS))
+    (hex_class, hex_bits), (_, other_bits) = LEAST_BITS.items()
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{places("a", ASSIGN)}, {places("k", ACCESS)}, {places("h", HEX)}, {places("c", CANDIDATE)},
+base AS (SELECT doc_id, start, 0 AS k, 'assign' AS kind, stop FROM a WHERE length(regexp_extract(found, {quoted(ASSIGN)}, 2)) >= {LEAST_ASSIGNED}
+         UNION ALL SELECT doc_id, start, 1, 'access', stop FROM k UNION ALL SELECT doc_id, start, 2, 'hex', stop FROM h),
+s AS (SELECT * FROM c WHERE NOT ({allowed})),
+w AS (SELECT doc_id, start, found, unnest(range(0, length(found) - {WINDOW - 1})) AS o FROM s),
+x AS (SELECT doc_id, start, found, o, unnest(string_split(substring(found, o + 1, {WINDOW}), '')) AS ch FROM w),
+n AS (SELECT doc_id, start, found, o, ch, count(*) AS n FROM x GROUP BY ALL),
+e AS (SELECT doc_id, start, found, o, sum(([{terms}])[n + 1]) AS total FROM n GROUP BY ALL),
+mixed AS (SELECT doc_id, start + min(o) AS start, 3 AS k, 'entropy' AS kind, start + max(o) + {WINDOW} AS stop FROM e
+          WHERE total <= CASE WHEN regexp_matches(found, {quoted(hex_class)}) THEN {most_sum(hex_bits)} ELSE {most_sum(other_bits)} END
+          GROUP BY doc_id, e.start),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM mixed m WHERE NOT EXISTS
+          (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.start <= m.start AND m.stop <= b.stop)),
+l AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l USING (doc_id)
+"""
