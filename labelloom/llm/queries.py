@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, fingerprints, neardup, packing, quality, secrets
+from labelloom.llm import bpe, fingerprints, neardup, packing, quality, secrets, toxicity
 from labelloom.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = [*[f"p_{c}" for c in toxicity.CATEGORIES], "toxic"]
+    return found.select("doc_id", *[f"_toxicity.{n}" for n in names], (~F.col("_toxicity.toxic")).alias("kept"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
 
@@ -43,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_quality.{n}" for n in names])
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_document_fingerprints, op5_secret_scans, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secrets.oracle_sql()}
