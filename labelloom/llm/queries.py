@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, fingerprints, neardup, packing, quality, secrets, toxicity
-from labelloom.llm.common import table
+from labelloom.llm import bpe, fingerprints, neardup, packing, quality, secrets, token_counts, toxicity, warc
+from labelloom.llm.common import table, whole_text
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found, ["doc_id", "piece", "ids_crc32"])
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.counted(docs, token_counts.lines(whole_text(docs)), bpe.vocabulary_path())
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,11 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("original").alias("refers_to"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = bpe.vocabulary_path()
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -49,5 +59,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_quality.{n}" for n in names])
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secrets.oracle_sql()}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_token_counts, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op6_warc_revisits, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secrets.oracle_sql(), "op6_warc_revisits": warc.oracle_sql()}
