@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, fingerprints, neardup, packing, quality, secrets, token_counts, toxicity, warc
+from labelloom.llm import bpe, fingerprints, licenses, neardup, packing, quality, secret_scans, token_counts, toxicity, warc
 from labelloom.llm.common import table, whole_text
 
 
@@ -30,7 +30,7 @@ def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scanned(table(spark, sf_dir, "documents")))
+    return secret_scans.digest(secret_scans.scanned(table(spark, sf_dir, "documents")))
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -59,5 +63,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_quality.{n}" for n in names])
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_token_counts, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op6_warc_revisits, op7_bpe_round_trip, op9_minhash_near_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secrets.oracle_sql(), "op6_warc_revisits": warc.oracle_sql()}
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_token_counts, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op6_warc_revisits, op7_bpe_round_trip, op8_license_scans, op9_minhash_near_dedup, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secret_scans.oracle_sql(), "op6_warc_revisits": warc.oracle_sql()}
