@@ -66,8 +66,15 @@ def tokens(c: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(_col(c)), _RUN_OF_WHITESPACE), "")
 
 
+def first_tokens(c: Column | str, n: int) -> Column:
+    """The first ``n`` of :func:`tokens`; the rest of a text is not taken apart."""
+    parts = F.split(F.regexp_replace(F.lower(_col(c)), f"^{_RUN_OF_WHITESPACE}", ""), _RUN_OF_WHITESPACE, n + 1)
+    return F.array_remove(F.slice(parts, 1, n), "")
+
+
 # Escapes of the unquoted line format, as (character, written form).
 _ESCAPES = [("\\", "\\\\"), (",", "\\,"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")]
+_NULL = "\\N"
 # While a line is taken apart, these stand for an escaped backslash, comma and quote.
 _MARKS = [("\\\\", "\\b"), ("\\,", "\\c"), ('\\"', "\\q")]
 _UNMARK = [("\\c", ","), ("\\q", '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\\")]
@@ -80,8 +87,8 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def encode_unquoted(*cols: Column | str) -> Column:
-    """One line without quotes: fields joined by commas, special characters escaped by a backslash."""
-    fields = [F.coalesce(_replace_all(_col(c).cast("string"), _ESCAPES), F.lit("")) for c in cols]
+    """One line without quotes: fields joined by commas, special characters escaped by a backslash, NULL as ``\\N``."""
+    fields = [F.coalesce(_replace_all(_col(c).cast("string"), _ESCAPES), F.lit(_NULL)) for c in cols]
     return F.concat_ws(",", *fields)
 
 
@@ -92,4 +99,4 @@ def decode_unquoted(line: Column | str) -> Column:
     and no regular expression has to walk a whole text.
     """
     fields = F.split(_replace_all(_col(line), _MARKS), ",")
-    return F.transform(fields, lambda f: _replace_all(f, _UNMARK))
+    return F.transform(fields, lambda f: F.when(f != _NULL, _replace_all(f, _UNMARK)))

@@ -12,14 +12,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.operators.joins import join_null_safe
-from labelloom.operators.positions import chunk_of, hash_of, with_positions
+from labelloom.operators.joins import broadcast_if_small, join_null_safe
+from labelloom.operators.positions import chunk_of, hash_of
 from labelloom.staging import stage
 
 Ranks = dict[str, Callable[[Column], Column]]
 
 # Hash cuts count rows per group and per first hex digits of the hash: 16 ** 3 chunks of each group.
 _CUT_DIGITS = 3
+# Range cuts: keys sampled as bounds, the distance of those looked at first, and rows of a chunk that are few enough to rank.
+_SAMPLE, _STEP, _RANKED_ROWS = 1024, 32, 100_000
 
 
 def key_of(*columns: str | Column) -> Column:
@@ -32,10 +34,55 @@ def key_of(*columns: str | Column) -> Column:
 def range_cuts(df: DataFrame, order_by: Sequence[str], ranks: Ranks, group_by: Sequence[str] = ()) -> DataFrame:
     """Per group: the key, see :func:`key_of`, at each rank in key order, or NULL past the end.
 
-    ``ranks`` maps a column name to a function of the group's row count.
+    ``ranks`` maps a column name to a function of the group's row count. NULL keys come first.
+
+    Nothing is sorted and no table of all keys is written. A bounded sample of keys cuts the order into
+    chunks; rows are counted per group and chunk, which tells the chunk that holds each rank. Only the
+    rows of those chunks go on, to be cut again while they are many, and are ranked in the end.
     """
-    keys = with_positions(df.select(*group_by, *order_by), order_by, group_by, "_pos", "_total")
-    return _cuts_at(keys, key_of(*order_by), ranks, group_by)
+    key = F.struct(*order_by)
+    rows = df.select(*group_by, key.alias("_key"))
+    sizes = rows.groupBy(*group_by).agg(F.count("*").alias("_total"))
+    wanted = [F.struct(F.lit(name).alias("name"), r(F.col("_total")).cast("long").alias("rank")) for name, r in ranks.items()]
+    targets = sizes.select(*group_by, F.explode(F.array(*wanted)).alias("_w")).select(*group_by, "_w.name", F.col("_w.rank").alias("_rank"), F.lit("").alias("_place"))
+    groups = targets = stage(targets, "ranks")
+    rows, most = rows.withColumn("_place", F.lit("")), None
+    by = [*group_by, "_place"]
+    while True:
+        bounds = _sampled_bounds(rows)
+        rows = rows.withColumn("_bounds", bounds.select("all").scalar())
+        rows = rows.withColumn("_chunk", _chunk_between(F.col("_bounds"), F.col("_key"))).drop("_bounds")
+        upto = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+        counts = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(upto))
+        hit = join_null_safe(targets, counts, by)
+        hit = hit.filter((F.col("_rank") >= F.col("_end") - F.col("_n")) & (F.col("_rank") < F.col("_end")))
+        place = F.concat_ws(".", "_place", F.col("_chunk").cast("string"))
+        hit = stage(hit.select(*by, "_chunk", "name", (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_rank"), place.alias("_next"), "_n"), "chunks")
+        found = broadcast_if_small(hit.select(*by, "_chunk", "_next").distinct())
+        rows = join_null_safe(rows, found, [*by, "_chunk"]).select(*group_by, F.col("_next").alias("_place"), "_key")
+        targets = hit.select(*group_by, F.col("_next").alias("_place"), "name", "_rank")
+        before, most = most, hit.agg(F.max("_n")).first()[0] or 0
+        if most <= _RANKED_ROWS or most == before:  # equal keys cannot be told apart
+            break
+        rows = stage(rows, "narrowed")
+    inside = Window.partitionBy(*by).orderBy("_key")
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - F.lit(1).cast("long"))
+    at = join_null_safe(ranked, broadcast_if_small(stage(targets, "targets")), [*by, "_rank"])
+    value = F.col("_key") if len(order_by) > 1 else F.col("_key")[order_by[0]]
+    cuts = join_null_safe(groups.select(*group_by).distinct(), at, group_by, "left") if group_by else at
+    return stage(cuts.groupBy(*group_by).agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in ranks]), "cuts")
+
+
+def _sampled_bounds(rows: DataFrame) -> DataFrame:
+    """One row: the sorted keys of the ``_SAMPLE`` rows that come first by hash."""
+    picked = rows.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h").limit(_SAMPLE)
+    return stage(picked.agg(F.sort_array(F.collect_set("_key")).alias("all")), "bounds")
+
+
+def _chunk_between(every: Column, key: Column) -> Column:
+    """How many bounds lie below a key: first among every ``_STEP``-th of them, then between two of those."""
+    coarse = F.size(F.filter(F.filter(every, lambda b, i: i % _STEP == _STEP - 1), lambda b: b < key))
+    return coarse * _STEP + F.size(F.filter(F.slice(every, coarse * _STEP + 1, _STEP), lambda b: b < key))
 
 
 def hash_cuts(

@@ -4,26 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
 from labelloom.functions import text as T
-from labelloom.operators.joins import broadcast_if_small
-from labelloom.operators.positions import with_positions
+from labelloom.operators.joins import is_small
 from labelloom.staging import stage
 
+# Words of a large vocabulary that are looked up by broadcast.
+_HOT = 10_000
+
 
 def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Rows ``(token, n, id)``: the ``size`` most frequent words, ties by word, ids from 4 up.
 
-    Words are ranked as positions, so no task sees all of them. The result is written to the shared
-    folder, so that encoding does not count the words again.
+    How many words occur how often tells the frequency at which ``size`` is passed; only words at or
+    above it are ordered. Counting is one shuffle, which the plan uses for both. The result, at most
+    ``size`` rows, is written to the shared folder, so that encoding does not count the words again.
     """
     counts = df.select(F.explode(T.tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    ranked = with_positions(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"])
-    number = (F.col("pos") + C.FIRST_TOKEN_ID).cast("int").alias("id")
-    return stage(ranked.filter(F.col("pos") < size).select("token", "n", number), "vocab")
+    # a row per frequency: far fewer than words
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.groupBy("n").agg(F.count("*").alias("_words")).withColumn("_upto", F.sum("_words").over(upto))
+    least = running.agg(F.coalesce(F.max(F.when(F.col("_upto") >= size, F.col("n"))), F.lit(1)).alias("n"))
+    order = [F.desc("n"), F.asc("token")]
+    top = counts.filter(F.col("n") >= least.scalar()).orderBy(*order).limit(size)
+    number = F.row_number().over(Window.orderBy(*order)) + F.lit(C.FIRST_TOKEN_ID - 1)
+    return stage(top.select("token", "n", number.cast("int").alias("id")), "vocab")
+
+
+def _with_ids(exploded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add the ``id`` of each token. In a vocabulary too large to broadcast, the ``_HOT`` most frequent words, which most
+    rows hold, are still looked up by broadcast, and only the others are shuffled."""
+    vocab = vocab.select("token", "id")
+    if is_small(vocab):
+        return exploded.join(F.broadcast(vocab), "token", "left")
+    first = F.col("id") < C.FIRST_TOKEN_ID + _HOT
+    hot = exploded.join(F.broadcast(vocab.filter(first)), "token", "left")
+    unknown = F.col("id").isNull() & F.col("token").isNotNull()
+    cold = hot.filter(unknown).drop("id").join(vocab.filter(~first), "token", "left")
+    return hot.filter(~unknown).unionByName(cold)
 
 
 def encode_fixed(
@@ -39,10 +60,10 @@ def encode_fixed(
     ``key`` is unique. Rows are spread by key once, as arrays already cut to length; the words found
     in a broadcast vocabulary are then gathered again without a further shuffle.
     """
-    words = F.slice(T.tokens(text), 1, max_len - 2)
+    words = T.first_tokens(text, max_len - 2)
     rows = df.select(*key, *keep, F.coalesce(words, F.array().cast("array<string>")).alias("_words")).repartition(*key)
     exploded = rows.select(*key, *keep, F.posexplode_outer("_words").alias("_at", "token"))
-    found = exploded.join(broadcast_if_small(vocab.select("token", "id")), "token", "left")
+    found = _with_ids(exploded, vocab)
     token_id = F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(C.UNKNOWN_ID)))
     entry = F.when(token_id.isNotNull(), F.struct("_at", token_id.alias("id")))
     gathered = found.groupBy(*key).agg(

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
 from labelloom.functions import text as T
-from labelloom.operators.cuts import key_of, range_cuts
+from labelloom.operators.cuts import range_cuts
 from labelloom.operators.joins import is_small
+from labelloom.staging import stage
 
 KEYS = ("category", "label")
-# Up to this quota the accepted keys of one category are few enough to be ranked in one task.
-_RANKED_LIMIT = 10_000
 
 
 def category_table(spark: SparkSession, categories: dict[str, int] = C.CATEGORIES) -> DataFrame:
@@ -51,46 +50,25 @@ def with_category_key(df: DataFrame, category: str = "category", label: str = "l
 
 
 def accept_to_quota(
-    batch: DataFrame,
-    remaining: DataFrame,
-    arrival: Sequence[str],
-    target: int = C.TARGET_PER_CATEGORY,
-    keys: Sequence[str] = KEYS,
+    batch: DataFrame, remaining: DataFrame, arrival: Sequence[str], keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The first ``remaining`` rows of each category in arrival order; finished categories give none.
 
-    ``arrival`` is unique and ``remaining`` never exceeds ``target``. Only the arrival keys are ranked,
-    to find the last key each category accepts; the rows themselves are filtered without a shuffle.
+    ``arrival`` is unique inside a category; NULL arrives first. Quotas of every size take the same way: the
+    last key each category accepts is found by counting, see :func:`labelloom.operators.cuts.range_cuts`, and
+    the rows themselves are filtered without a shuffle.
     """
+    remaining = stage(remaining, "remaining")  # a row per category, used more than once
     small = is_small(remaining)
 
     def hint(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    open_keys = batch.select(*keys, *arrival).join(hint(remaining), list(keys))
-    find = _last_of_first_rows if target <= _RANKED_LIMIT else _last_by_position
-    # at most one row per row of ``remaining``, so its size check holds for this one too
-    last = hint(find(open_keys, arrival, target, keys))
-    rows = batch.join(last, list(keys))
-    return rows.filter(F.col("_last").isNull() | (key_of(*arrival) <= F.col("_last"))).select(*batch.columns)
-
-
-def _last_of_first_rows(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequence[str]) -> DataFrame:
-    """Small quota: the first keys of every salt, then the first keys among those.
-
-    A category of any size is spread over the salts, and the literal bound lets Spark drop keys
-    past it before the shuffle.
-    """
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*arrival), F.lit(salts)))
-    for spread in ([*keys, "_salt"], [*keys]):
-        order = Window.partitionBy(*spread).orderBy(*arrival)
-        rows = rows.withColumn("_rank", F.row_number().over(order))
-        rows = rows.filter((F.col("_rank") <= target) & (F.col("_rank") <= F.col("remaining")))
-    return rows.groupBy(*keys).agg(F.max(key_of(*arrival)).alias("_last"))
-
-
-def _last_by_position(rows: DataFrame, arrival: Sequence[str], target: int, keys: Sequence[str]) -> DataFrame:
-    """Large quota: the key at the last accepted position, NULL while the category stays open."""
-    cuts = range_cuts(rows, arrival, {"_last": lambda n: F.col("remaining") - 1}, [*keys, "remaining"])
-    return cuts.select(*keys, "_last")
+    # The constant makes the key a struct, so that a NULL arrival differs from no cut at all.
+    order = [*arrival, "_whole"]
+    open_keys = batch.select(*keys, *arrival, F.lit(0).alias("_whole")).join(hint(remaining), list(keys))
+    # The last accepted position of each category; past the end, while it stays open, there is no key.
+    cuts = range_cuts(open_keys, order, {"_last": lambda n: F.col("remaining") - 1}, [*keys, "remaining"])
+    rows = batch.join(hint(cuts.select(*keys, "_last")), list(keys))
+    key = F.struct(*arrival, F.lit(0).alias("_whole"))
+    return rows.filter(F.col("_last").isNull() | (key <= F.col("_last"))).select(*batch.columns)

@@ -36,7 +36,7 @@ def fill_categories(
     done = progress(sink) if sink is not None else progress(categories.limit(0))
     remaining = remaining_quota(categories, done, target)
     lines = parse_generated_lines(responses, keep=[*KEYS, *arrival])
-    return accept_to_quota(lines, remaining, [*arrival, "line_no"], target)
+    return accept_to_quota(lines, remaining, [*arrival, "line_no"])
 
 
 def final_corpus(raw: DataFrame) -> DataFrame:

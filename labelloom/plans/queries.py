@@ -163,7 +163,7 @@ def quota_total(spark: SparkSession, sf: str) -> DataFrame:
 def quota_accept(spark: SparkSession, sf: str) -> DataFrame:
     remaining = quota.remaining_quota(event_categories(spark), quota_progress(spark, sf), TARGET)
     batch = arriving_events(table(spark, sf, "events")).select("event_id", "ts", "category", "label")
-    return quota.accept_to_quota(batch, remaining, ["ts", "event_id"], TARGET).drop("ts")
+    return quota.accept_to_quota(batch, remaining, ["ts", "event_id"]).drop("ts")
 
 
 def quota_accept_large(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,7 +171,7 @@ def quota_accept_large(spark: SparkSession, sf: str) -> DataFrame:
     target = 20_050
     remaining = quota.remaining_quota(event_categories(spark), quota_progress(spark, sf), target)
     batch = arriving_events(table(spark, sf, "events")).select("event_id", "ts", "category", "label")
-    return quota.accept_to_quota(batch, remaining, ["ts", "event_id"], target).drop("ts")
+    return quota.accept_to_quota(batch, remaining, ["ts", "event_id"]).drop("ts")
 
 
 def filled_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -477,7 +477,7 @@ def corpus_slice(spark: SparkSession, sf: str) -> DataFrame:
     gated = stage(gated.select("category", "label", "class", "doc_id", "line_no"), "gated")
     categories = gated.select("category", "label").distinct()
     remaining = quota.remaining_quota(categories, quota.progress(gated.limit(0)), 50)
-    accepted = quota.accept_to_quota(gated, remaining, ["doc_id", "line_no"], 50)
+    accepted = quota.accept_to_quota(gated, remaining, ["doc_id", "line_no"])
     split = splits.split_stratified(stage(accepted, "accepted"), ["doc_id", "line_no"], ["class"], method="md5")
     return split.groupBy("split", "class").agg(F.count("*").alias("n_rows"))
 

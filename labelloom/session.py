@@ -8,8 +8,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # lets the quota's "first k rows per category" be cut on the map side for k above the default
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

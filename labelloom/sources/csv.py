@@ -1,7 +1,8 @@
 """Readers of untidy CSV files.
 
 Two dialects are known: ``quoted`` doubles a quote inside quotes, ``escaped`` puts a backslash
-before it. Lines without any quotes are read by ``read_unquoted``.
+before it. The lenient reader also knows ``unquoted``: lines with backslashes and without quotes, as
+``write_unquoted`` makes them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.labels import parse_label
 from labelloom.operators.positions import file_columns, with_file_positions
 from labelloom.operators.tables import ensure_column
+from labelloom.sources.lines import unquoted_rows
 from labelloom.staging import stage
 
 # The character that escapes a quote in each dialect.
@@ -56,6 +58,8 @@ def read_csv_lenient(
     file in one task; switch it off for large files that hold none.
     """
     try:
+        if dialect == "unquoted":
+            return unquoted_rows(_plain_lines(spark, path))
         rows = _read(spark, path, SENTENCE_COLUMNS, dialect, multi_line)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
@@ -67,6 +71,12 @@ def read_csv_lenient(
     return rows.filter(~_too_many(dialect)).drop(_RECORD)
 
 
+def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines below the header of each file, as they are."""
+    unused = {"sep": "\x01", "quote": "", "header": True}
+    return spark.read.schema("value string").options(**unused).csv(path)
+
+
 def read_csv_dir(spark: SparkSession, path: str, dialect: str = "quoted", multi_line: bool = True) -> DataFrame:
     """The first two columns, by position, of every CSV file of a folder or glob, with ``source_file``.
 

@@ -78,6 +78,11 @@ _STATUS = "split string, status string, least bigint, most bigint"
 
 def read_unquoted(spark: SparkSession, path: str, columns: Sequence[str] = ("sentence", "sentiment")) -> DataFrame:
     """Rows of lines made by ``encode_unquoted``. Lines with too many fields are dropped, missing fields are NULL."""
-    fields = spark.read.text(path).select(T.decode_unquoted("value").alias("_fields"))
+    return unquoted_rows(spark.read.text(path), columns)
+
+
+def unquoted_rows(lines: DataFrame, columns: Sequence[str] = ("sentence", "sentiment")) -> DataFrame:
+    """Fields of the lines in column ``value``, for :func:`read_unquoted`."""
+    fields = lines.select(T.decode_unquoted("value").alias("_fields"))
     fitting = fields.filter(F.size("_fields") <= len(columns))
     return fitting.select(*[F.get("_fields", F.lit(i)).alias(c) for i, c in enumerate(columns)])

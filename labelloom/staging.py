@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
+_recorded: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,7 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/labelloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/labelloom/{name}-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
+    return path
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for the few things that Spark's readers and writers cannot do."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def dropping_staged(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end whatever this block has staged. Nothing lazy made inside may be used later."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield
+    finally:
+        _recorded.remove(paths)
+        for path in paths:
+            found, files = hadoop_path(spark, path)
+            files.delete(found, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelloom import constants as C
 from labelloom.operators.generated import parse_generated_lines
 from labelloom.operators.quota import KEYS, accept_to_quota, progress, remaining_quota
+from labelloom.staging import dropping_staged, hadoop_path, stage
 
 
-def _stored_before(categories: DataFrame, sink: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
-    """Rows stored by earlier micro-batches."""
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to, made with it. A new checkpoint counts batches from 0 again."""
+    path = f"{checkpoint}/labelloom-run"
+    found, files = hadoop_path(spark, path)
+    if not files.exists(found):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
+def _stored(categories: DataFrame, sink: str, run: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
+    """All rows below ``sink`` but those of this micro-batch, and of later ones, of the same run: also what other runs
+    and plain appends have stored."""
     spark = categories.sparkSession
     try:
-        stored = spark.read.parquet(sink)
+        stored = spark.read.option("recursiveFileLookup", True).parquet(sink)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return categories.select(*keys).limit(0)
-    return stored.filter(F.col("batch_id") < batch_id).select(*keys)
+    own = F.regexp_extract("_metadata.file_path", f"/run={run}/batch_id=(\\d+)/", 1)
+    return stored.filter((own == "") | (own.try_cast("long") < batch_id)).select(*keys)
 
 
 def stream_accept_rows(
@@ -36,18 +49,23 @@ def stream_accept_rows(
     keys: Sequence[str] = KEYS,
     **trigger: object,
 ) -> StreamingQuery:
-    """Write the first ``target`` rows of each category to ``sink``, over all micro-batches and restarts.
+    """Write the first ``target`` rows of each category to ``sink``, over all micro-batches, restarts and runs.
 
-    Each micro-batch counts what earlier ones stored, so full categories are dropped before any
-    shuffle and no ledger can disagree with the rows. A micro-batch owns the folder of its number and
-    replaces it when it is run again after a failure.
+    Each micro-batch counts what is stored, so full categories are dropped before any shuffle and no
+    ledger can disagree with the rows. A micro-batch owns the folder of its run and number and replaces
+    it when it is run again after a failure; one that accepts nothing writes nothing. Its rows are
+    worked out once, into a staged table that is deleted in the end.
     """
+    spark = categories.sparkSession
+    run = _run_of(spark, checkpoint)
 
     def accept(batch: DataFrame, batch_id: int) -> None:
-        done = progress(_stored_before(categories, sink, batch_id, keys), keys)
-        remaining = remaining_quota(categories, done, target, keys)
-        accepted = accept_to_quota(batch, remaining, arrival, target, keys)
-        accepted.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        with dropping_staged(batch.sparkSession):
+            arrived = stage(batch, "arrived")
+            done = progress(_stored(categories, sink, run, batch_id, keys), keys)
+            accepted = accept_to_quota(arrived, remaining_quota(categories, done, target, keys), arrival, keys)
+            if not accepted.isEmpty():
+                accepted.write.mode("overwrite").parquet(f"{sink}/run={run}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
-from labelloom.operators import generated, paraphrase, quota
+from labelloom.operators import cuts, generated, paraphrase, quota
 from labelloom.plans import corpus
 
 LONG = "một câu, có dấu phẩy và đủ dài để được giữ lại trong tập"
@@ -68,16 +68,18 @@ def expected(arrivals, remaining):
     return sorted(out)
 
 
-@pytest.mark.parametrize("target", [3, 1500, 100000])
-@pytest.mark.parametrize("ranked_limit", [10_000, 0])
-def test_accept_to_quota(spark, arrivals, target, ranked_limit, monkeypatch):
-    monkeypatch.setattr(quota, "_RANKED_LIMIT", ranked_limit)
+@pytest.mark.parametrize("target", [3, 1500, 3999, 100000])
+@pytest.mark.parametrize("ranked_rows", [100_000, 10])
+def test_accept_to_quota(spark, arrivals, target, ranked_rows, monkeypatch):
+    monkeypatch.setattr(cuts, "_RANKED_ROWS", ranked_rows)
+    monkeypatch.setattr(cuts, "_SAMPLE", 40)
+    monkeypatch.setattr(cuts, "_STEP", 8)
     categories = spark.createDataFrame([("hot", 1), ("small", 1), ("full", 1), ("absent", 1)], "category string, label int")
     done = spark.createDataFrame([("small", 1, 2), ("full", 1, 100000)], "category string, label int, n bigint")
     remaining = quota.remaining_quota(categories, done, target)
     want = {"hot": target, "small": max(target - 2, 0), "absent": target}
     assert {r.category: r.remaining for r in remaining.collect()} == want
-    got = quota.accept_to_quota(arrivals, remaining, ["at"], target)
+    got = quota.accept_to_quota(arrivals, remaining, ["at"])
     assert got.columns == arrivals.columns
     assert sorted((r.category, r["at"]) for r in got.collect()) == expected(arrivals, want)
     assert quota.total_generated(categories, done).first().total == 100002
@@ -88,7 +90,18 @@ def test_first_arrival_is_kept(spark):
     sink = spark.createDataFrame([("c", 0)] * 2, "category string, label int")
     categories = spark.createDataFrame([("c", 0)], "category string, label int")
     remaining = quota.remaining_quota(categories, quota.progress(sink), 3)
-    assert [r["at"] for r in quota.accept_to_quota(batch, remaining, ["at"], 3).collect()] == [1]
+    assert [r["at"] for r in quota.accept_to_quota(batch, remaining, ["at"]).collect()] == [1]
+
+
+def test_quota_follows_what_remains_and_null_arrives_first(spark):
+    rows = spark.range(6000).selectExpr("if(id % 10 = 0, 'rare', 'hot') category", "0 label", "id at")
+    remaining = spark.createDataFrame([("hot", 0, 5000)], "category string, label int, remaining long")
+    assert quota.accept_to_quota(rows, remaining, ["at"]).count() == 5000
+    batch = spark.createDataFrame([("c", 0, i) for i in (3, None, 1, 2)], "category string, label int, at int")
+    for n, want in ((1, [None]), (3, [None, 1, 2]), (9, [None, 1, 2, 3])):
+        remaining = spark.createDataFrame([("c", 0, n)], "category string, label int, remaining long")
+        got = [r["at"] for r in quota.accept_to_quota(batch, remaining, ["at"]).collect()]
+        assert sorted(got, key=lambda v: -1 if v is None else v) == want
 
 
 def test_fill_categories_never_exceeds_the_target(spark):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from labelloom.operators.quota import progress
 from labelloom.plans.queries import letter_model
 from labelloom.plans.scoring import answer_requests
+from labelloom.sources.sinks import append_with_header
+from labelloom.staging import shared_folder
 from labelloom.streaming.quota import stream_accept_to_quota
 from labelloom.streaming.scoring import stream_score
 
@@ -56,11 +60,38 @@ def test_a_repeated_batch_replaces_its_rows(spark, folders):
     add_file(spark, folders["in"], [0, 1, 2])
     rows = run(spark, folders, 25)
     before = sorted((r.category, r.no, r.line_no) for r in rows.collect())
-    again = dict(folders, checkpoint=folders["checkpoint"] + "-lost")
-    after = sorted((r.category, r.no, r.line_no) for r in run(spark, again, 25).collect())
+    for name in ("commits", "offsets"):  # the batch is planned, run and committed anew
+        shutil.rmtree(f"{folders['checkpoint']}/{name}")
+    shutil.rmtree(f"{folders['checkpoint']}/sources")
+    after = sorted((r.category, r.no, r.line_no) for r in run(spark, folders, 25).collect())
     assert before == after and len(before) == 45
 
 
+def test_a_new_run_and_plain_appends_count_and_stay(spark, folders):
+    add_file(spark, folders["in"], [0])
+    first = sorted((r.category, r.no, r.line_no) for r in run(spark, folders, 30).collect())
+    assert len(first) == 40
+    append_with_header(spark.createDataFrame([("rare", 2)] * 8, "category string, label int"), folders["sink"])
+    other = dict(folders, checkpoint=folders["checkpoint"] + "-2", **{"in": folders["in"] + "-2"})
+    add_file(spark, other["in"], [7, 8])
+    stream = spark.readStream.schema(SCHEMA).parquet(other["in"])
+    categories = spark.createDataFrame([("hot", 2), ("rare", 2)], "category string, label int")
+    stream_accept_to_quota(stream, categories, other["sink"], other["checkpoint"], ["no"], 30).awaitTermination()
+    rows = spark.read.options(recursiveFileLookup=True, mergeSchema=True).parquet(folders["sink"])
+    assert {r.category: r.n for r in progress(rows).collect()} == {"hot": 30, "rare": 30}
+    assert set(first) <= {(r.category, r.no, r.line_no) for r in rows.filter("no is not null").collect()}
+
+
+def test_a_full_quota_writes_nothing_and_staged_tables_go(spark, folders):
+    add_file(spark, folders["in"], [0])
+    run(spark, folders, 5)
+    staged = Path(shared_folder(spark).removeprefix("file:")) / "labelloom"
+    before = set(staged.iterdir()), set(Path(folders["sink"]).rglob("batch_id=*"))
+    add_file(spark, folders["in"], [1])
+    run(spark, folders, 5)
+    assert before == (set(staged.iterdir()), set(Path(folders["sink"]).rglob("batch_id=*")))
+
+
 def test_scores(spark, folders):
     requests = spark.createDataFrame([(1, "aaa b"), (2, " \t"), (3, "iii e"), (4, None)], "k int, text string")
     requests.repartition(3).write.parquet(folders["in"])
