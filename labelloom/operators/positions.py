@@ -23,7 +23,9 @@ def _number(staged: DataFrame, group_by: Sequence[str], chunk_by: Sequence[str],
     """Turn ``_row``, increasing by one inside each chunk, into positions inside each group."""
     sizes = staged.groupBy(*group_by, *chunk_by).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     group = Window.partitionBy(*group_by)
-    earlier = group.orderBy(*chunk_by).rowsBetween(Window.unboundedPreceding, -1)
+    # part files are in order of their numbers, which have five digits or more
+    number = [F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("long")] if "_file" in chunk_by else []
+    earlier = group.orderBy(*number, *chunk_by).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         *group_by,
         *chunk_by,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from labelloom import constants as C
 from labelloom.functions.text import WHITESPACE
-from labelloom.plans.queries import EVENT_LABELS, TARGET, VOCAB_SIZE, WORDS
+from labelloom.plans.queries import AWKWARD, EVENT_LABELS, LOGIT_PARTS, TARGET, VOCAB_SIZE, WORDS
 
 # The same white space as a character class; \s has most of the ASCII part.
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -108,8 +108,9 @@ def _encoded(source: str, columns: str, max_len: int) -> str:
         FROM full_ids)"""
 
 
-_PREDICTED = """logits AS (
-  SELECT vec_id, label % 3 AS label, [x::DOUBLE for x in embedding[1:3]] AS logits FROM embeddings),
+_PARTS = ", ".join(f"list_sum([x::DOUBLE for x in embedding[{start}:{start + n - 1}]])" for start, n in LOGIT_PARTS)
+_PREDICTED = f"""logits AS (
+  SELECT vec_id, label % 3 AS label, [{_PARTS}] AS logits FROM embeddings),
   powers AS (SELECT *, [exp(x - list_max(logits)) for x in logits] AS powers FROM logits),
   probable AS (SELECT *, [x / list_sum(powers) for x in powers] AS p FROM powers),
   predicted AS (SELECT *, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS prediction, -ln(p[label + 1]) AS loss FROM probable)"""
@@ -125,8 +126,9 @@ _FITTING = "length(line) - length(replace(line, ',', ''))"
 
 ORACLES: dict[str, str] = {
     "clean_text": f"""SELECT doc_id, {_strip("text")} AS stripped, {_collapse("text")} AS collapsed,
-        replace(text, '"', '') AS unquoted FROM documents""",
-    "nonblank_lines": f"""WITH {_FEEDBACK} SELECT doc_id, line_no, {_strip("sentence")} AS sentence FROM feedback
+        replace(text, '"', '') AS unquoted FROM (SELECT doc_id, {AWKWARD} AS text FROM documents)""",
+    "nonblank_lines": f"""WITH {_FEEDBACK} SELECT doc_id, line_no, {_strip("sentence")} AS sentence
+        FROM (SELECT doc_id, line_no, {AWKWARD} AS sentence FROM (SELECT doc_id, line_no, sentence AS text FROM feedback))
         WHERE {_strip("sentence")} <> ''""",
     "label_map": f"""SELECT doc_id, word, CAST(code AS VARCHAR) AS code, name, {_case("name", {v: k for k, v in C.PROMPT_NAMES.items()})} AS code_of_name
         FROM (SELECT *, {_case("code", C.PROMPT_NAMES, f"'{C.PROMPT_DEFAULT}'")} AS name
@@ -203,8 +205,8 @@ ORACLES: dict[str, str] = {
         FROM {_ordered('predicted', 'vec_id', 'vec_id, label, prediction')} GROUP BY split
         UNION ALL SELECT '{C.BASELINE_NAME}', {C.BASELINE_ACCURACY}::DOUBLE, {C.BASELINE_F1}::DOUBLE""",
     "select_best": """WITH c AS (
-          SELECT CAST(k AS INTEGER) AS candidate, label % 3 AS label, [x::DOUBLE for x in embedding[3 * k + 1 : 3 * k + 3]] AS logits
-          FROM embeddings, range(21) t(k)),
+          SELECT CAST(k AS INTEGER) AS candidate, label % 3 AS label, [x::DOUBLE for x in embedding[4 * k + 1 : 4 * k + 4]] AS four,
+            [four[1], four[2], four[3] + four[4]] AS logits FROM embeddings, range(16) t(k)),
         e AS (SELECT *, [exp(x - list_max(logits)) for x in logits] AS e FROM c),
         p AS (SELECT *, [x / list_sum(e) for x in e] AS p FROM e),
         f AS (SELECT candidate, avg(CAST(list_position(p, list_max(p)) - 1 = label AS INTEGER)::DOUBLE) AS val_f1 FROM p GROUP BY candidate)
@@ -216,22 +218,25 @@ ORACLES: dict[str, str] = {
     "zip_tables": """SELECT a.pos, a.doc_id, b.n_chars, b.by_length FROM
         (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) a JOIN
         (SELECT n_chars, doc_id AS by_length, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents) b ON a.pos = b.pos""",
-    "csv_round_trip": "SELECT text AS sentence, lang AS sentiment FROM documents",
+    "csv_round_trip": f"SELECT {AWKWARD} AS sentence, lang AS sentiment FROM documents",
     "parquet_round_trip": f"""SELECT split, text AS sentence, lang AS sentiment
         FROM {_ordered('documents', 'doc_id', 'text, lang')}""",
     "final_csv_round_trip": f"""WITH {_LABELLED} SELECT split, {_id("split", "pos")} AS id, text, class FROM (
         SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos
         FROM {_ordered('labelled', 'doc_id', 'doc_id, text, class')})""",
-    "raw_rows": f"""WITH {_LABELLED} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text,
+    "raw_rows": f"""WITH {_LABELLED} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, coalesce({AWKWARD}, '') AS text,
         CASE WHEN class = 0 THEN 1 ELSE class END AS class FROM labelled""",
     "lenient_rows": f"""WITH {_FEEDBACK}, plain AS (SELECT replace(sentence, '"', '') AS line FROM feedback)
         SELECT nullif(string_split(line, ',')[1], '') AS sentence, nullif(string_split(line, ',')[2], '') AS sentiment
         FROM plain WHERE line <> '' AND {_FITTING} <= 1""",
     "unquoted_round_trip": "SELECT text AS sentence, lang AS sentiment FROM documents",
+    "escaped_rows": f"SELECT {AWKWARD} AS sentence, lang AS sentiment FROM documents",
     "append_and_rewrite": f"""SELECT event_id, event_type AS category, {_case("event_type", EVENT_LABELS)} AS label,
         event_type || '_' || {_case("event_type", EVENT_LABELS)} AS category_key FROM events""",
     "stream_quota": f"""SELECT event_id, event_type AS category, {_case("event_type", EVENT_LABELS)} AS label FROM events
         QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= {TARGET}""",
+    "stream_generated": f"""WITH {_GENERATED} SELECT category, label, doc_id, line_no, sentence, sentiment FROM accepted_lines
+        QUALIFY row_number() OVER (PARTITION BY category, label ORDER BY doc_id, line_no) <= 20""",
     "stream_scores": f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations),
         c AS (SELECT *, [length(text) - length(replace(text, x, '')) for x in ['a', 'e', 'i']] AS c FROM t)
         SELECT conv_id, turn, CASE WHEN text = '' THEN {_ERROR}

@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from labelloom.plans.oracles import ORACLES
+from labelloom.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,7 @@ def test_query(spark, duck, name):
 def test_only_fitted_models_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {"fit_and_score", "fit_metrics"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
