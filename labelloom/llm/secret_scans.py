@@ -63,31 +63,48 @@ def most_sum(bits: float) -> int:
     return round(WINDOW * (math.log2(WINDOW) - bits) * 1_000_000)
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda, a variable is read, an expression evaluated again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """``start, end, found`` of all matches, leftmost first: the gaps between them, from a split, give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(gaps, i))
-        match = F.element_at(found, i)
-        end = start + F.length(match)
-        place = F.struct(start.alias("start"), end.alias("end"), match.alias("found"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(place)).alias("out"))
+    def walk(both: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+        def step(state: Column, pair: Column) -> Column:
+            start = state["at"] + F.length(pair["gap"])
+            end = start + F.length(pair["found"])
+            place = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(place)).alias("out"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(zero["out"])
+        pairs = F.zip_with(both["found"], F.slice(both["gaps"], 1, F.size(both["found"])), lambda f, g: F.struct(f.alias("found"), g.alias("gap")))
+        return F.aggregate(pairs, zero, step, lambda s: s["out"])
+
+    # most texts have no match, and are then not split
+    gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1))
+    return _with(found, lambda f: F.when(F.size(f) > 0, _with(F.struct(f.alias("found"), gaps.alias("gaps")), walk)).otherwise(none))
 
 
 def _mixed_part(place: Column) -> Column:
     """From the first to the last window of a candidate with enough bits, or null."""
-    chars = F.split(place["found"], "")
-    terms = F.array(*[F.lit(t) for t in TERMS])
     limit = F.lit(most_sum(LEAST_BITS[""]))
     for pattern, bits in LEAST_BITS.items():
         if pattern:
             limit = F.when(place["found"].rlike(pattern), most_sum(bits)).otherwise(limit)
+    known = F.struct(
+        F.split(place["found"], "").alias("chars"), limit.alias("limit"), place["start"].alias("start"),
+        F.array(*[F.lit(t) for t in TERMS]).alias("terms"),
+    )
+    return _with(known, _mixed_span)
+
+
+def _mixed_span(known: Column) -> Column:
+    chars, terms, limit = known["chars"], known["terms"], known["limit"]
     zero = F.struct(F.lit(0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def count(window: Column, char: Column) -> Column:
@@ -108,8 +125,10 @@ def _mixed_part(place: Column) -> Column:
             F.when(hot, i).otherwise(state["last"]).alias("last"),
         )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.length(place["found"])), zero, step)
-    return F.transform(F.array(walked), lambda w: F.when(w["first"].isNotNull(), _span(place["start"] + w["first"], 3, place["start"] + w["last"])))[0]
+    def finish(w: Column) -> Column:
+        return F.when(w["first"].isNotNull(), _span(known["start"] + w["first"], 3, known["start"] + w["last"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), zero, step, finish)
 
 
 def _span(start: Column, kind: int, end: Column) -> Column:

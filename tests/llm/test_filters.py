@@ -141,8 +141,9 @@ def test_secrets(spark):
     listed = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base_spans(texts[2]))
     assert digests[2].base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and digests[2].n_assign == 1
     for r in secret_scans.masked(df).collect():
-        spans = sorted((s[0], s[3]) for s in [*(b := base_spans(texts[r.doc_id] or "")), *mixed_spans(texts[r.doc_id] or "", b)])
         out, at, text = "", 0, texts[r.doc_id]
+        base = base_spans(text or "")
+        spans = sorted((s[0], s[3]) for s in [*base, *mixed_spans(text or "", base)])
         for start, end in spans:
             if start >= at:
                 out += text[at:start] + secret_scans.MARK
