@@ -148,7 +148,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Scanne
     foreign = ~F.arrays_overlap(_runs(F.col("_words"), 3), F.array(*[F.lit(t) for t in _triples()]))
     other = lines.filter(chosen).filter(foreign).select(F.lit(0.0).alias("label"), "_words", held.alias("held"))
     rows = runs.select("label", "_words", held.alias("held")).unionByName(other)
-    rows = stage(_featured(rows).select("label", "held", "_features"), "licence-training")
+    rows = stage(_featured(rows).select("label", "held", "_features"), "licence-training").coalesce(4)
     learner = LogisticRegression(
         featuresCol="_features", labelCol="label", family="multinomial", regParam=PENALTY, maxIter=ITERATIONS,
         rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",

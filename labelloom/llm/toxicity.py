@@ -28,6 +28,7 @@ FEATURES, FOLDS, MOST_ROWS = 1 << 16, 3, 20_000
 #: Letters of a word's beginning that is a feature of its own, for words at least one longer.
 BEGINNINGS = (4, 5)
 PENALTY, ITERATIONS, LIMIT = 0.002, 15, 0.5
+PARTITIONS = 4
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def fit(rows: DataFrame, categories: Sequence[str] = CATEGORIES, folds: int = FO
             out = parts[0]
             for part in parts[1:]:
                 out = out.unionByName(part)
-            rows = stage(out, "out-of-fold")
+            rows = stage(out, "out-of-fold").coalesce(PARTITIONS)
     return Chain(categories, models)
 
 
@@ -122,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     chosen = flags.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.select(docs[id_col].alias("_doc"), docs[text].alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc")
-    rows = stage(with_features(rows, "_text").drop("_text"), "training")
+    # a bounded table read once per step of every fit: few partitions, so that a step is one short stage
+    rows = stage(with_features(rows, "_text").drop("_text"), "training").coalesce(PARTITIONS)
     kinds = rows.agg(F.min(CATEGORIES[0]), F.max(CATEGORIES[0])).first()
     return fit(rows) if kinds[0] == 0 and kinds[1] == 1 else None
 
