@@ -30,10 +30,10 @@ from labelloom.llm.common import id_and_text, ship
 VOCABULARY = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
 #: Bounds of what a process remembers: words with their ids, and answers about pairs of tokens and tails of prefixes.
-MAX_WORDS = 400_000
-MAX_PAIRS = 400_000
+MAX_WORDS = 200_000
+MAX_PAIRS = 200_000
 #: Characters encoded together.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: So many last bytes of a prefix are looked at to rule out token lengths.
 TAIL = 4
 
