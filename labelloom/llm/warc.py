@@ -39,8 +39,11 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), "[\\r\\n]+", " ")
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
-    """Columns ``page_id, url, payload`` with ``n_bytes, digest`` and ``original``, the page a revisit refers to, else null."""
+def with_roles(pages: DataFrame, archives: int) -> DataFrame:
+    """Columns ``page_id, url, payload`` with ``n_bytes, digest`` and ``original``, the page a revisit refers to, else null.
+
+    Rows are dealt by page id to so many parts, which the join with the revisits keeps: payloads are shuffled once.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
@@ -50,7 +53,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
     heads = rows.select("page_id", "digest", "n_bytes").filter(F.col("n_bytes") >= LEAST_BYTES)
     found = heads.join(shared.drop("_n"), ["digest", "n_bytes"]).filter("page_id <> original")
     revisits = found.select("page_id", "original").distinct()
-    return rows.join(revisits, "page_id", "left")
+    return rows.repartition(archives, "page_id").join(revisits, "page_id", "left")
 
 
 def records(roles: DataFrame) -> Column:
@@ -83,7 +86,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     archives = total // ARCHIVE_BYTES + 1
-    roles = with_roles(pages).repartition(archives, F.xxhash64("page_id", F.col("original").isNull()))
+    roles = with_roles(pages, archives)
     roles.select(records(roles).alias("value")).write.option("lineSep", _BREAK * 2).option("compression", "gzip").text(path)
 
 
