@@ -11,7 +11,7 @@ from labelloom import constants as C
 _SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
 _SPACES += [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WHITESPACE = "".join(map(chr, _SPACES))
-_RUN_OF_WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+RUN_OF_WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -25,7 +25,7 @@ def strip_text(c: Column | str) -> Column:
 
 def collapse_whitespace(c: Column | str) -> Column:
     """Every run of white space becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(_col(c), _RUN_OF_WHITESPACE, " "))
+    return F.trim(F.regexp_replace(_col(c), RUN_OF_WHITESPACE, " "))
 
 
 def remove_quotes(c: Column | str) -> Column:
@@ -63,12 +63,12 @@ def paraphrase_request(sentence: Column | str, name: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-case words between white space."""
-    return F.array_remove(F.split(F.lower(_col(c)), _RUN_OF_WHITESPACE), "")
+    return F.array_remove(F.split(F.lower(_col(c)), RUN_OF_WHITESPACE), "")
 
 
 def first_tokens(c: Column | str, n: int) -> Column:
     """The first ``n`` of :func:`tokens`; the rest of a text is not taken apart."""
-    parts = F.split(F.regexp_replace(F.lower(_col(c)), f"^{_RUN_OF_WHITESPACE}", ""), _RUN_OF_WHITESPACE, n + 1)
+    parts = F.split(F.regexp_replace(F.lower(_col(c)), f"^{RUN_OF_WHITESPACE}", ""), RUN_OF_WHITESPACE, n + 1)
     return F.array_remove(F.slice(parts, 1, n), "")
 
 

@@ -8,24 +8,26 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from labelloom import constants as C
+from labelloom.functions import text as T
 from labelloom.functions.labels import label_name
-from labelloom.functions.scores import argmax, probability_map
-from labelloom.operators.metrics import f1, select_best
+from labelloom.functions.scores import argmax, negative_log_likelihood, probability_map
+from labelloom.operators.metrics import accuracy, f1, select_best
 from labelloom.staging import stage
 
 FEATURES = 1 << 15
+_FIGURES = "candidate int, train_loss double, train_accuracy double, val_loss double, val_accuracy double, val_f1 double"
 DEFAULT_CANDIDATES = ({"reg": C.WEIGHT_DECAY, "passes": C.MAX_PASSES},)
 
 
 def _counters(features: int) -> list[Transformer]:
-    """The stages that need no fitting: words, then hashed word counts."""
+    """The stages that need no fitting: words, cut where :func:`labelloom.functions.text.tokens` does, then hashed counts."""
     return [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\s+"),
+        RegexTokenizer(inputCol="text", outputCol="_words", pattern=T.RUN_OF_WHITESPACE),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
     ]
 
@@ -46,9 +48,13 @@ def fit_classifier(
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit every candidate on ``(text, label)`` and return the best by validation F1 with all figures.
 
-    Without a validation table the first candidate is fitted and there are no figures. Words are
-    counted once and written to the shared folder: all passes of all candidates read the counts.
+    Figures are a row per candidate: loss and accuracy on train, loss, accuracy and F1 on validation.
+    Without a validation table there is nothing to choose by: one candidate is fitted, more are an
+    error, and there are no figures. Words are counted once and written to the shared folder: all
+    passes of all candidates read the counts.
     """
+    if validation is None and len(candidates) != 1:
+        raise ValueError("several candidates need a validation table")
 
     def counts(df: DataFrame) -> DataFrame:
         return df if "_counts" in df.columns else stage(count_words(df.select("text", "label"), features), "counts")
@@ -58,7 +64,7 @@ def fit_classifier(
     weighted = idf.transform(train)
     held_out = idf.transform(counts(validation)) if validation is not None else None
     models, rows = [], []
-    for number, candidate in enumerate(candidates if validation is not None else candidates[:1]):
+    for number, candidate in enumerate(candidates):
         model = LogisticRegression(
             featuresCol="_features",
             labelCol="label",
@@ -68,13 +74,18 @@ def fit_classifier(
         ).fit(weighted)
         models.append(PipelineModel([*_counters(features), idf, model]))
         if held_out is not None:
-            rows.append((number, model.transform(held_out).agg(f1()).first()[0]))
+            on_train = model.transform(weighted).agg(_loss(), accuracy()).first()
+            rows.append((number, *on_train, *model.transform(held_out).agg(_loss(), accuracy(), f1()).first()))
     if validation is None:
         return models[0], None
-    figures = train.sparkSession.createDataFrame(rows, "candidate int, val_f1 double")
+    figures = train.sparkSession.createDataFrame(rows, _FIGURES)
     return models[select_best(figures).first()["candidate"]], figures
 
 
+def _loss() -> Column:
+    return F.avg(negative_log_likelihood(vector_to_array("probability"), F.col("label").cast("int")))
+
+
 def predict(df: DataFrame, model: Transformer) -> DataFrame:
     """The rows with ``probabilities``, an array, and ``prediction``, the most likely class.
 

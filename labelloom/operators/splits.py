@@ -32,7 +32,10 @@ def _label(df: DataFrame, cuts: DataFrame, key: Column, group_by: Sequence[str],
 def split_ordered(
     df: DataFrame, order_by: Sequence[str], train: float = C.TRAIN_FRACTION, val: float = C.VAL_FRACTION
 ) -> DataFrame:
-    """Add ``split``: the first share of the rows in key order is train, the next val, the rest test."""
+    """Add ``split``: the first share of the rows in key order is train, the next val, the rest test.
+
+    Rows with equal keys go to one split, so shares are exact only if ``order_by`` tells rows apart: add a column that does.
+    """
     cuts = range_cuts(df, order_by, _split_ranks(train, val))
     return _label(df, cuts, key_of(*order_by), (), df.columns)
 
@@ -57,7 +60,7 @@ def tail_holdout(
     fraction: float = C.HOLDOUT_FRACTION,
     exclude_from_train: bool = False,
 ) -> DataFrame:
-    """Rows with ``split``: the last share in key order is test.
+    """Rows with ``split``: the last share in key order is test. Rows with equal keys stay together.
 
     By default the train part keeps those rows too, so they appear once per split.
     """

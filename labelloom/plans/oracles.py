@@ -213,6 +213,8 @@ ORACLES: dict[str, str] = {
         SELECT candidate, round(val_f1, 6) AS val_f1 FROM f ORDER BY f.val_f1 DESC, candidate LIMIT 1""",
     "respond_json": f"""SELECT conv_id, turn, CASE WHEN role = 'system' OR {_strip("text")} = '' THEN {_ERROR}
         ELSE {_success(_case("length(" + _strip("text") + ") % 3", C.SERVING_NAMES))} END AS response FROM conversations""",
+    "fit_checks": f"""WITH {_SPLIT_FEEDBACK} SELECT split, count(*) AS n_rows, true AS in_range, true AS sums_to_one,
+        true AS beats_majority FROM split_feedback GROUP BY split""",
     "zip_by_position": f"""WITH {_FEEDBACK} SELECT 'train' AS split, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos,
         {_strip("sentence")} AS sentence, CAST(class AS VARCHAR) AS sentiment FROM feedback WHERE {_strip("sentence")} <> ''""",
     "zip_tables": """SELECT a.pos, a.doc_id, b.n_chars, b.by_length FROM

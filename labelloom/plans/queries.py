@@ -375,6 +375,22 @@ def fit_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return measured.unionByName(majority.select(F.lit("Majority").alias("dataset"), "accuracy", F.col("accuracy").alias("f1")))
 
 
+def fit_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of a fitted model, per split: all rows are scored, with classes and probabilities in range, and on
+    train no worse than always saying the most frequent class."""
+    rows = stage(split_feedback(spark, sf).withColumnRenamed("sentence", "text"), "rows")
+    model, _ = training.train_and_evaluate(rows)
+    scored = classifier.predict(rows.select("split", "text", "class"), model)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    fine = F.every(F.col("prediction").between(0, C.NUM_CLASSES - 1)), F.every(F.abs(total - 1) < 1e-6)
+    right = F.count_if(F.col("prediction") == F.col("class"))
+    most = F.greatest(*[F.count_if(F.col("class") == c) for c in range(C.NUM_CLASSES)])
+    return scored.groupBy("split").agg(
+        F.count("*").alias("n_rows"), fine[0].alias("in_range"), fine[1].alias("sums_to_one"),
+        ((F.col("split") != "train") | (right >= most)).alias("beats_majority"),
+    )
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 
 
@@ -532,7 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         batches, ordered_batches, final_ids, ensure_columns, combine_sources,
         vocab, encode_fixed, training_columns,
         softmax_argmax, score_records, accuracy_f1_loss, pooled_metrics, metrics_by_split, select_best,
-        respond_json, fit_and_score, fit_metrics,
+        respond_json, fit_and_score, fit_metrics, fit_checks,
         zip_by_position, zip_tables, csv_round_trip, parquet_round_trip, final_csv_round_trip, raw_rows,
         lenient_rows, unquoted_round_trip, escaped_rows, append_and_rewrite,
         stream_quota, stream_generated, stream_scores, corpus_slice,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
-from labelloom.operators import classifier, features, joins, metrics, tables
+from labelloom.operators import classifier, features, metrics, tables
 from labelloom.plans import corpus, scoring, training
 from labelloom.streaming.scoring import stream_score
 
@@ -23,9 +23,11 @@ def test_vocab(spark, texts):
     assert [tuple(r) for r in vocab.orderBy("id").collect()] == [("zz", 9, 4), ("a", 2, 5), ("b", 2, 6), ("c", 2, 7)]
 
 
-@pytest.mark.parametrize("small_rows", [100, 0])
-def test_encode(spark, texts, small_rows, monkeypatch):
-    monkeypatch.setattr(features, "broadcast_if_small", lambda df: joins.broadcast_if_small(df, small_rows))
+@pytest.mark.parametrize("small", [True, False])
+def test_encode(spark, texts, small, monkeypatch):
+    """Also with a vocabulary that is not broadcast, but for its most frequent word."""
+    monkeypatch.setattr(features, "is_small", lambda df: small)
+    monkeypatch.setattr(features, "_HOT", 1)
     vocab = features.build_vocab(texts.filter("k < 3"), 3)  # a, b, c
     out = {r.k: r for r in features.encode_fixed(texts, vocab, ["k"], max_len=6, keep=["text"]).collect()}
     assert out[1].input_ids == [0, 5, 4, 2, 1, 1] and out[1].attention_mask == [1, 1, 1, 1, 0, 0]
@@ -96,6 +98,17 @@ def test_fit_without_validation(labelled):
     model, figures = classifier.fit_classifier(rows, features=1 << 10)
     assert figures is None
     assert classifier.predict(rows, model).filter("prediction <> label").count() == 0
+    with pytest.raises(ValueError):
+        classifier.fit_classifier(rows, candidates=[*classifier.DEFAULT_CANDIDATES] * 2)
+
+
+def test_figures_per_candidate(labelled):
+    rows = labelled.withColumn("label", F.col("class").cast("double"))
+    weak = {"reg": 1000.0, "passes": 1}
+    _, figures = classifier.fit_classifier(rows, rows, [weak, *classifier.DEFAULT_CANDIDATES], 1 << 10)
+    bad, good = figures.orderBy("candidate").collect()
+    assert good.train_accuracy == good.val_accuracy == good.val_f1 == 1 and good.train_loss == pytest.approx(good.val_loss)
+    assert bad.val_loss == pytest.approx(1.0986, abs=0.01)
 
 
 def test_combined_splits(spark):

@@ -196,3 +196,28 @@ def test_staged_tables(spark):
     staged = staging.stage(df, "t")
     assert staged.schema == df.schema
     assert staged.collect() == df.collect()
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_latest(spark, path)
+    sinks.rewrite_safely(spark.range(3), path, 1)
+    put(tmp_path / "versions/version=2/part-00000.parquet", b"half written")
+    assert sinks.read_latest(spark, path).count() == 3
+    sinks.rewrite_safely(spark.range(0), path, 2)
+    assert sinks.read_latest(spark, path).count() == 0
+    put(tmp_path / "versions/version=1/part-00009.parquet", b"not read")
+    assert sinks.read_latest(spark, path).count() == 0
+    with pytest.raises(AnalysisException):
+        sinks.rewrite_safely(spark.range(1), path, 2)
+
+
+def test_lenient_reader_of_unquoted_lines(spark, tmp_path):
+    put(tmp_path / "in/a.csv", "sentence,sentiment\na\\, b,2\nplain,1\nfew\nx,1,extra\n\\N,\\\\N\n")
+    put(tmp_path / "in/b.csv", "sentence,sentiment\n  c ,\\N\n")
+    rows = csv.read_csv_lenient(spark, str(tmp_path / "in"), "unquoted").collect()
+    assert sorted(((r.sentence, r.sentiment) for r in rows), key=repr) == sorted(
+        [("a, b", "2"), ("plain", "1"), ("few", None), (None, "\\N"), ("  c ", None)], key=repr
+    )
+    assert csv.read_csv_lenient(spark, str(tmp_path / "missing.csv"), "unquoted") is None
