@@ -32,7 +32,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates, that with the smallest id: five-word shingles, similarity 0.8.
+
+    Rows with a null id stay, as nothing names them.
+    """
     rows = docs.select(*COLUMNS)
     found = stage(neardup.near_duplicates(rows), "near-duplicates")
     # repeated rows share an id and would all be kept: one of those with the same id stays

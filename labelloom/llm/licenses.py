@@ -144,7 +144,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Scanne
     held = F.pmod(F.xxhash64(F.array_join("_words", " ")), F.lit(HELD_OUT)) == 0
     lines = paragraphs(docs, id_col, text)
     total = max(lines.count(), 1)
-    chosen = F.pmod(F.xxhash64("doc_id", "paragraph", "_words"), F.lit(1_000_000)) < int(min(1.0, MOST_OTHER / total) * 1_000_000)
+    chosen = F.pmod(F.xxhash64("doc_id", "paragraph", "_words"), F.lit(10**12)) < int(min(1.0, MOST_OTHER / total) * 10**12)
     foreign = ~F.arrays_overlap(_runs(F.col("_words"), 3), F.array(*[F.lit(t) for t in _triples()]))
     other = lines.filter(chosen).filter(foreign).select(F.lit(0.0).alias("label"), "_words", held.alias("held"))
     rows = runs.select("label", "_words", held.alias("held")).unionByName(other)

@@ -95,14 +95,19 @@ def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel:
 def fit(rows: DataFrame, categories: Sequence[str] = CATEGORIES, folds: int = FOLDS) -> Chain:
     """Fit a chain on rows with ``_id``, ``_features`` and a column per category.
 
-    For every category but the last, ``folds`` further models score the rows outside their own training part.
+    For every category but the last, ``folds`` further models score the rows outside their own training part. Where a
+    handful of rows all fall into one part, there is nothing outside it and the full model scores them.
     """
     models = []
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)))
+    parted = rows.select("_fold").distinct().count() > 1
     for i, category in enumerate(categories):
         joined = _joined(rows, categories[:i])
         models.append(_fit(joined, category))
         if i + 1 < len(categories):
+            if not parted:
+                rows = _scored(joined, models[-1], category)
+                continue
             parts = [
                 _scored(joined.filter(F.col("_fold") == k), _fit(joined.filter(F.col("_fold") != k), category), category)
                 for k in range(folds)
@@ -120,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     n = flags.count()
     share = min(1.0, most_rows / max(n, 1))
     # as many rows as the bound allows, so small enough to send to every task that reads documents
-    chosen = flags.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = flags.filter(F.pmod(F.xxhash64("_id"), F.lit(10**12)) < int(share * 10**12))
     texts = docs.select(docs[id_col].alias("_doc"), docs[text].alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc")
     # a bounded table read once per step of every fit: few partitions, so that a step is one short stage
