@@ -1,34 +1,46 @@
 """Toxicity categories by a classifier chain.
 
 Categories are predicted one after the other. Each has a linear model (logistic regression with an L1
-penalty) over hashed words and word beginnings, and over the probabilities of the categories before
-it. In training those come from out-of-fold predictions: every row is scored by models that have not
-seen it, so a later model learns how far the earlier ones can be trusted.
+penalty) over words and word beginnings, and over the probabilities of the categories before it. In
+training those come from out-of-fold predictions: every row is scored by models that have not seen
+it, so a later model learns how far the earlier ones can be trusted.
 
-Models are fitted by Spark ML on a sample of at most about ``MOST_ROWS`` labelled rows, chosen by
-hash; every document is scored.
+Models are fitted on a sample of at most about ``MOST_ROWS`` labelled rows, chosen by hash, whose
+features, small numbers, come to the driver: a fit takes a few hundred steps over them, each of which
+would be a job of its own on the cluster. Every document is scored, in the tasks that read it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelloom.llm.common import whole_text
+from labelloom.llm.common import ship, whole_text
 from labelloom.staging import stage
 
 #: Order of the chain. All come from the two flags of the label table.
 CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
-FEATURES, FOLDS, MOST_ROWS = 1 << 16, 3, 20_000
+#: Bounds: labelled rows used, rows a feature must be in, features of one model.
+MOST_ROWS, LEAST_ROWS, MOST_FEATURES = 20_000, 4, 400
 #: Letters of a word's beginning that is a feature of its own, for words at least one longer.
 BEGINNINGS = (4, 5)
-PENALTY, ITERATIONS, LIMIT = 0.002, 15, 0.5
-PARTITIONS = 4
+FOLDS, PENALTY, STEPS = 3, 0.0001, 400
+#: Bounds of the probability from which a text is toxic, and its value where there are no out-of-fold predictions.
+LIMITS, LIMIT = (0.1, 0.5), 0.5
+
+_find_words = re.compile(r"[^\W_]+").findall
+
+
+def tokens(text: str) -> set[str]:
+    """Distinct lower-cased words and beginnings of words, marked as such."""
+    words = set(_find_words(text.lower()))
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -39,117 +51,172 @@ def labelled(labels: DataFrame) -> DataFrame:
     return rows.dropna()
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-cased words and beginnings of words, marked as such."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
-    starts = [
-        F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("-")))
-        for n in BEGINNINGS
-    ]
-    return F.array_distinct(F.concat(words, *starts))
-
-
-def with_features(rows: DataFrame, text: str) -> DataFrame:
-    hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_tokens", outputCol="_features")
-    return hashing.transform(rows.withColumn("_tokens", tokens(whole_text(rows, text)))).drop("_tokens")
+class Rows:
+    """Which features each of some rows has: feature numbers one row after the other, and where rows begin."""
+
+    def __init__(self, features: np.ndarray, sizes: np.ndarray, n: int) -> None:
+        self.features, self.sizes, self.n = features, sizes, n
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+
+    def take(self, keep: np.ndarray) -> Rows:
+        inside = keep[self.row]
+        return Rows(self.features[inside], self.sizes[keep], self.n)
+
+    def only(self, wanted: np.ndarray) -> Rows:
+        """The rows with these features alone, numbered anew."""
+        number = np.full(self.n, -1)
+        number[wanted] = np.arange(len(wanted))
+        inside = number[self.features] >= 0
+        return Rows(number[self.features[inside]], np.bincount(self.row[inside], minlength=len(self.sizes)), len(wanted))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.features], len(self.sizes))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """By feature: the sum of the values of rows that have it."""
+        return np.bincount(self.features, values[self.row], self.n)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+class Model:
+    """Weights of features and of the categories before, and an intercept."""
+
+    def __init__(self, rows: Rows, before: np.ndarray, target: np.ndarray) -> None:
+        """Fit by accelerated proximal gradient steps on the features that tell most about the target."""
+        n, positive = len(target), target.sum()
+        there, with_target = rows.summed(np.ones(n)), rows.summed(target)
+        expected = there * (positive / n)
+        strength = (with_target - expected) ** 2 / (expected * (1 - positive / n) + 1)
+        self.chosen = np.sort(np.argsort(-strength, kind="stable")[:MOST_FEATURES])
+        inner = rows.only(self.chosen)
+        k = before.shape[1]
+        weights = np.zeros(len(self.chosen) + k + 1)
+        ahead, pace = weights.copy(), 1.0
+        width = 4 / (inner.sizes.max(initial=0) + k + 1)  # a step that cannot overshoot
+        for _ in range(STEPS):
+            off = _sigmoid(inner.times(ahead[: len(self.chosen)]) + before @ ahead[len(self.chosen) : -1] + ahead[-1]) - target
+            slope = np.concatenate([inner.summed(off), before.T @ off, [off.sum()]]) / n
+            new = ahead - width * slope
+            cut = width * PENALTY
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - cut, 0)
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            ahead, weights, pace = new + (pace - 1) / faster * (new - weights), new, faster
+        self.weights, self.before, self.intercept = weights[: len(self.chosen)], weights[len(self.chosen) : -1], weights[-1]
+
+    def probability(self, rows: Rows, before: np.ndarray) -> np.ndarray:
+        whole = np.zeros(rows.n)
+        whole[self.chosen] = self.weights
+        return _sigmoid(rows.times(whole) + before @ self.before + self.intercept)
+
+
+def best_limit(scores: np.ndarray, target: np.ndarray) -> float:
+    """The probability with the best F1 for calling rows positive, midway to the next score below, within ``LIMITS``."""
+    order = np.argsort(-scores, kind="stable")
+    ranked, right = scores[order], np.cumsum(target[order])
+    f1 = 2 * right / (np.arange(1, len(target) + 1) + target.sum())
+    f1[:-1][ranked[:-1] == ranked[1:]] = 0  # equal scores are not told apart
+    at = int(np.argmax(f1))
+    below = ranked[at + 1] if at + 1 < len(ranked) else 0.0
+    return float(np.clip((ranked[at] + below) / 2, *LIMITS))
+
+
+def fit_chain(rows: Rows, targets: np.ndarray, fold: np.ndarray) -> tuple[list[Model], float]:
+    """A model per column of ``targets``, and the limit for the first. Rows of each fold are scored by a model of the others,
+    for the columns after and for the limit.
+
+    Where all rows are in one fold, there is nothing outside it and the full model scores them.
+    """
+    models, before, limit = [], np.zeros((len(targets), 0)), LIMIT
+    for i in range(targets.shape[1]):
+        models.append(Model(rows, before, targets[:, i]))
+        scores = models[-1].probability(rows, before)
+        for k in np.unique(fold):
+            inside = fold == k
+            if i + 1 < targets.shape[1] and not inside.all():
+                part = Model(rows.take(~inside), before[~inside], targets[~inside, i])
+                scores[inside] = part.probability(rows.take(inside), before[inside])
+        before = np.column_stack([before, scores])
+    if len(np.unique(fold)) > 1:
+        limit = best_limit(before[:, 0], targets[:, 0])
+    return models, limit
 
 
 class Chain:
-    """Fitted models by category, in order."""
-
-    def __init__(self, categories: Sequence[str], models: Sequence[LogisticRegressionModel]) -> None:
-        self.categories, self.models = list(categories), list(models)
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        """Add ``_p_<category>`` to rows with ``_features``."""
-        for i, model in enumerate(self.models):
-            rows = _scored(_joined(rows, self.categories[:i]), model, self.categories[i])
-        return rows
-
-
-def _joined(rows: DataFrame, before: Sequence[str]) -> DataFrame:
-    """``_input``: the features and the probabilities of the categories before."""
-    return VectorAssembler(inputCols=["_features", *[f"_p_{c}" for c in before]], outputCol="_input").transform(rows)
-
-
-def _scored(rows: DataFrame, model: LogisticRegressionModel, category: str) -> DataFrame:
-    out = model.transform(rows)
-    return out.withColumn(f"_p_{category}", vector_to_array("_probability")[1]).drop("_input", "_raw", "_probability", "_prediction")
-
-
-def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel:
-    learner = LogisticRegression(
-        featuresCol="_input",
-        labelCol=category,
-        family="binomial",
-        regParam=PENALTY,
-        elasticNetParam=1.0,
-        maxIter=ITERATIONS,
-        rawPredictionCol="_raw",
-        probabilityCol="_probability",
-        predictionCol="_prediction",
-    )
-    return learner.fit(rows)
-
-
-def fit(rows: DataFrame, categories: Sequence[str] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """Fit a chain on rows with ``_id``, ``_features`` and a column per category.
-
-    For every category but the last, ``folds`` further models score the rows outside their own training part. Where a
-    handful of rows all fall into one part, there is nothing outside it and the full model scores them.
-    """
-    models = []
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(folds)))
-    parted = rows.select("_fold").distinct().count() > 1
-    for i, category in enumerate(categories):
-        joined = _joined(rows, categories[:i])
-        models.append(_fit(joined, category))
-        if i + 1 < len(categories):
-            if not parted:
-                rows = _scored(joined, models[-1], category)
-                continue
-            parts = [
-                _scored(joined.filter(F.col("_fold") == k), _fit(joined.filter(F.col("_fold") != k), category), category)
-                for k in range(folds)
-            ]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            rows = stage(out, "out-of-fold").coalesce(PARTITIONS)
-    return Chain(categories, models)
+    """Fitted models by category: weights by token, weights of earlier categories, intercepts."""
+
+    def __init__(self, models: Sequence[Model], vocabulary: Sequence[str], limit: float = LIMIT) -> None:
+        self.limit = limit
+        self.before = [m.before for m in models]
+        self.intercepts = [m.intercept for m in models]
+        self.weights: dict[str, np.ndarray] = {}
+        for i, model in enumerate(models):
+            for feature, weight in zip(model.chosen.tolist(), model.weights.tolist()):
+                if weight:
+                    self.weights.setdefault(vocabulary[feature], np.zeros(len(models)))[i] = weight
+
+    def probabilities(self, text: str) -> list[float]:
+        known = self.weights
+        total = sum((known[t] for t in sorted(tokens(text).intersection(known))), np.zeros(len(self.before)))
+        out: list[float] = []
+        for i, before in enumerate(self.before):
+            out.append(float(_sigmoid(total[i] + before @ np.array(out) + self.intercepts[i])))
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text: str = "text") -> Chain | None:
     """Fit a chain on about ``most_rows`` labelled documents at most; None if there are none, or only of one kind."""
     flags = labelled(labels)
-    n = flags.count()
-    share = min(1.0, most_rows / max(n, 1))
+    share = min(1.0, most_rows / max(flags.count(), 1))
     # as many rows as the bound allows, so small enough to send to every task that reads documents
     chosen = flags.filter(F.pmod(F.xxhash64("_id"), F.lit(10**12)) < int(share * 10**12))
-    texts = docs.select(docs[id_col].alias("_doc"), docs[text].alias("_text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc")
-    # a bounded table read once per step of every fit: few partitions, so that a step is one short stage
-    rows = stage(with_features(rows, "_text").drop("_text"), "training").coalesce(PARTITIONS)
+    texts = docs.select(docs[id_col].alias("_doc"), whole_text(docs, text).alias("_text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    split = F.arrow_udf(lambda a: pa.array([sorted(tokens(t.as_py())) for t in a], pa.list_(pa.string())), T.ArrayType(T.StringType()))
+    fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    rows = stage(rows.select("_id", *CATEGORIES, fold, split("_text").alias("tokens")), "training")
     kinds = rows.agg(F.min(CATEGORIES[0]), F.max(CATEGORIES[0])).first()
-    return fit(rows) if kinds[0] == 0 and kinds[1] == 1 else None
+    if kinds[0] != 0 or kinds[1] != 1:
+        return None
+    # bounded by the sample: tokens of its rows
+    often = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    vocabulary = sorted(often.filter(F.col("n") >= LEAST_ROWS).select("t").toArrow().column(0).to_pylist())
+    number = {t: i for i, t in enumerate(vocabulary)}
+    coded = F.arrow_udf(
+        lambda a: pa.array([[number[t] for t in row.as_py() if t in number] for row in a], pa.list_(pa.int32())), T.ArrayType(T.IntegerType())
+    )
+    found = rows.select("_id", *CATEGORIES, "fold", coded("tokens").alias("f")).toArrow().combine_chunks().sort_by("_id")
+    lists = found.column("f").combine_chunks()
+    sizes = np.asarray(lists.value_lengths())
+    targets = np.column_stack([found.column(c).to_numpy() for c in CATEGORIES])
+    models, limit = fit_chain(Rows(lists.flatten().to_numpy(), sizes, len(vocabulary)), targets, found.column("fold").to_numpy())
+    return Chain(models, vocabulary, limit)
 
 
-def scored(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``_toxicity``: a probability per category and ``toxic``, whether that of the
-    first category is at least ``limit``.
+    first category reaches the limit that does best for the out-of-fold predictions.
 
     Null and empty texts are scored as texts without words. Repeated rows get equal scores; repeated label rows count
     as often as they occur, and labels of unknown documents are ignored. Without labelled documents of both kinds there
     is nothing to learn: probabilities are null and nothing is toxic. An existing ``_toxicity`` is replaced, other columns
     are kept whatever their names. An empty table stays empty.
     """
+    ship(docs.sparkSession)
     chain = train(docs, labels, id_col=id_col, text=text)
-    own = [c for c in docs.columns if c != "_toxicity"]
-    rows = docs.select(F.struct(*own).alias("_row"), docs[text].alias("_text"))
+    own = [F.col(c) for c in docs.columns if c != "_toxicity"]
+    names = [f"p_{c}" for c in CATEGORIES]
     if chain is None:
-        found = rows.withColumns({f"_p_{c}": F.lit(None).cast("double") for c in CATEGORIES})
+        p = F.struct(*[F.lit(None).cast("double").alias(n) for n in names])
     else:
-        found = chain.score(with_features(rows, "_text"))
-    toxic = F.coalesce(F.col(f"_p_{CATEGORIES[0]}") >= limit, F.lit(False))
-    verdict = F.struct(*[F.col(f"_p_{c}").alias(f"p_{c}") for c in CATEGORIES], toxic.alias("toxic"))
-    return found.select(*[F.col("_row")[c].alias(c) for c in own], verdict.alias("_toxicity"))
+
+        def run(texts: pa.Array) -> pa.Array:
+            out = np.array([chain.probabilities(t.as_py()) for t in texts]).reshape(len(texts), len(names))
+            return pa.StructArray.from_arrays([pa.array(column) for column in out.T], names=names)
+
+        p = F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(whole_text(docs, text))
+    rows = docs.select(*own, p.alias("_toxicity"))
+    toxic = F.coalesce(F.col("_toxicity")[names[0]] >= (chain.limit if chain else LIMIT), F.lit(False))
+    return rows.withColumn("_toxicity", F.struct(*[F.col("_toxicity")[n].alias(n) for n in names], toxic.alias("toxic")))
