@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Words whose hashes a process remembers.
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 _known: dict[bytes, int] = {}
 
 
