@@ -126,16 +126,17 @@ def judged(docs: DataFrame, language: str = "lang", source: str = "source", text
     alike and count as often as they occur. An existing ``_quality`` is replaced. An empty table stays empty.
     """
     ship(docs.sparkSession)
-    own = docs.select(*[F.col(c) for c in docs.columns if c != "_quality"])
+    own = [c for c in docs.columns if c != "_quality"]
 
     def measured(rows: DataFrame) -> DataFrame:
         # all other columns pass by Python; the counts are cheap enough to be worked out for both passes
-        counted = rows.withColumn("_c", _counts(whole_text(rows, text)))
+        counted = rows.withColumn("_c", _counts(whole_text(rows, "_text")))
         return counted.withColumn("_s", F.struct(*[v.alias(k) for k, v in signals(F.col("_c")).items()]))
 
     keys = [F.col(language).alias("_lang"), F.col(source).alias("_source")]
-    limits = thresholds(measured(docs.select(F.col(text), *keys)), "_lang", "_source")
-    rows = measured(own.withColumns({"_lang": F.col(language), "_source": F.col(source)}))
+    keys = [F.col(text).alias("_text"), *keys]
+    limits = thresholds(measured(docs.select(*keys)), "_lang", "_source")
+    rows = measured(docs.select(F.struct(*own).alias("_row"), *keys))  # so that no column of theirs meets one of ours
     rows = join_null_safe(rows, broadcast_if_small(limits), ["_lang", "_source"], "left")
     c = F.col("_c")
     failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
@@ -143,7 +144,7 @@ def judged(docs: DataFrame, language: str = "lang", source: str = "source", text
     for s in SLACK:
         within = within & (F.col(f"_s.{s}") <= F.col(f"_high_{s}"))
     verdict = [failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept")]
-    return rows.select(*own.columns, F.struct(*[c[n].alias(n) for n in _COUNTS], *verdict).alias("_quality"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in own], F.struct(*[c[n].alias(n) for n in _COUNTS], *verdict).alias("_quality"))
 
 
 def oracle_sql() -> str:

@@ -146,9 +146,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     those of one kind do not. Repeated rows are scanned alike. An existing ``_secrets`` is replaced; other columns are kept
     whatever their names. An empty table stays empty.
     """
-    own = [F.col(c) for c in docs.columns if c != "_secrets"]
-    rows = docs.select(*own, F.struct(whole_text(docs, text).alias("t")).alias("_text"))
-    t = F.col("_text.t")
+    own = [c for c in docs.columns if c != "_secrets"]
+    rows = docs.select(F.struct(*own).alias("_row"), whole_text(docs, text).alias("_text"))
+    t = F.col("_text")
     long_enough = lambda p: F.length(F.regexp_extract(p["found"], ASSIGN, 2)) >= LEAST_ASSIGNED
     base = F.concat(_kept(F.filter(_places(t, ASSIGN), long_enough), 0), _kept(_places(t, ACCESS), 1), _kept(_places(t, HEX), 2))
     rows = rows.withColumns({"_base": base, "_found": _places(t, CANDIDATE)})
@@ -163,7 +163,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     rows = rows.withColumn("_mixed", F.when(F.size("_found") > 0, F.filter(mixed, lambda s: ~inside(s))))
     spans = F.array_sort(F.concat("_base", F.coalesce("_mixed", F.filter("_base", lambda b: F.lit(False)))))
-    return rows.select(*own, spans.alias("_secrets"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in own], spans.alias("_secrets"))
 
 
 def listed(spans: Column) -> Column:
