@@ -1,9 +1,11 @@
 """Licence notices in paragraphs, with DataFrame functions and Spark ML only.
 
 A multinomial logistic regression over hashed words and word pairs tells licence families from other
-paragraphs. It is trained here: licence examples are runs of words of the notices below, with and
-without words around them; examples of other text are paragraphs of the corpus that share no word
-triple with a notice, a bounded sample chosen by hash. Runs held out of the training calibrate how
+paragraphs. It is trained here: licence examples are runs of words of the notices below; examples of
+other text are paragraphs of the corpus that share no word triple with a notice, a bounded sample
+chosen by hash. Besides each whole paragraph, every stretch of it whose word triples are those of
+notices is classified, so the words around a notice in a longer line do not outvote it. A stretch
+without such a triple could not be confirmed as any family. Runs held out of the training calibrate how
 sure a prediction must be: the limit of each family is a low percentile of the probability that its
 held-out runs get. Predictions below it are of unknown licence. Held-out paragraphs of other text set how
 probable some licence must be for a paragraph to count at all. A prediction is confirmed by comparing
@@ -77,17 +79,31 @@ LEAST_RUN, HELD_OUT, PERCENTILE, BOUNDS = 4, 4, 0.02, (0.3, 0.8)
 OTHER_PERCENTILE = 0.999
 #: Share of word triples that confirms a prediction, in either direction.
 CONFIRMED = 0.6
+#: Stretches inside a paragraph: places of word triples of notices, at most so many words apart. Neighbours alone tell
+#: notices that follow one another apart, the other joins what a changed word divides.
+APART = (1, 8)
+#: A stretch that does not hold ``CONFIRMED`` of a notice counts from so many words: fewer are common in other text.
+LEAST_INSIDE = 8
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}.]+|[.](?![\\p{N}])"), lambda w: w != "")
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda, a variable is read, an expression evaluated again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _runs(found: Column, n: int) -> Column:
     """Runs of n words, joined. Fewer words have none."""
-    last = F.size(found) - n + 1
-    whole = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(found, i, n), " "))
-    return F.when(last > 0, whole).otherwise(F.array().cast("array<string>"))
+
+    def joined(f: Column) -> Column:
+        last = F.size(f) - n + 1
+        whole = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(f, i, n), " "))
+        return F.when(last > 0, whole).otherwise(F.array().cast("array<string>"))
+
+    return _with(found, joined)
 
 
 def grams(found: Column) -> Column:
@@ -115,6 +131,30 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return rows.select("doc_id", "paragraph", words(F.col("_line")).alias("_words")).filter(F.size("_words") > 0)
 
 
+def stretches(found: Column) -> Column:
+    """Runs of words, as arrays, between the first and last of word triples of notices that lie together; see ``APART``."""
+    known = _triples()
+    none = F.array().cast("array<array<string>>")
+
+    def cut(both: Column) -> Column:
+        at, all_words = both["at"], both["words"]
+
+        def runs(apart: int) -> Column:
+            first = F.filter(at, lambda a, j: (j == 0) | (a - F.get(at, j - 1) > apart))
+            last = F.filter(at, lambda a, j: (j == F.size(at) - 1) | (F.get(at, j + 1) - a > apart))
+            return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+        pairs = F.array_distinct(F.concat(*map(runs, APART)))
+        return F.transform(pairs, lambda p: F.slice(all_words, p["a"], p["b"] - p["a"] + 3))
+
+    def search(all_words: Column) -> Column:
+        triple = lambda i: F.concat_ws(" ", *[F.get(all_words, i + k) for k in (-1, 0, 1)])
+        at = F.filter(F.sequence(F.lit(1), F.size(all_words) - 2), lambda i: triple(i).isin(known))
+        return _with(F.struct(at.alias("at"), all_words.alias("words")), lambda both: F.when(F.size(both["at"]) > 0, cut(both)).otherwise(none))
+
+    return F.when(F.size(found) > 2, _with(found, search)).otherwise(none)
+
+
 def _triples() -> list[str]:
     out: set[str] = set()
     for text in chain.from_iterable(NOTICES.values()):
@@ -169,21 +209,27 @@ def _runs_of(found: Column, n: Column) -> Column:
 
 
 def scanned(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per paragraph that looks like a licence notice: ``doc_id, paragraph, family, guess, probability, overlap``.
+    """A row per paragraph that looks like or holds a licence notice: ``doc_id, paragraph, family, guess, probability, overlap``.
 
     ``guess`` is the most probable family and ``family`` the same if the prediction is sure and confirmed, else
-    ``unknown``. Ties go to the first family of the list. Null, empty and wordless texts have no paragraphs; repeated rows
-    are scanned alike. Other columns are not read. An empty table gives an empty table.
+    ``unknown``. They are those of the whole paragraph or, where that is not confirmed, of its most probable confirmed
+    stretch; of a paragraph that looks like none, of its most probable stretch. Ties go to the first family of the list.
+    Null, empty and wordless texts have no paragraphs; repeated rows are scanned alike. Other columns are not read. An
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
     scanner = scanner or train(docs, id_col, text)
-    rows = _featured(paragraphs(docs, id_col, text))
+    rows = paragraphs(docs, id_col, text).withColumn("_row", F.monotonically_increasing_id())
+    inside = F.transform(F.filter(stretches(F.col("_words")), lambda w: F.size(w) < F.size("_words")), lambda w: F.struct(F.lit(0).alias("whole"), w.alias("words")))
+    parts = F.explode(F.concat(F.array(F.struct(F.lit(1).alias("whole"), F.col("_words").alias("words"))), inside)).alias("_part")
+    rows = rows.select("_row", "doc_id", "paragraph", parts)
+    rows = _featured(rows.select("_row", "doc_id", "paragraph", F.col("_part.whole").alias("_whole"), F.col("_part.words").alias("_words")))
     sure = vector_to_array("_probability")
-    rows = scanner.model.transform(rows).select("doc_id", "paragraph", "_words", sure.alias("_p"))
+    rows = scanner.model.transform(rows).select("_row", "_whole", "doc_id", "paragraph", "_words", sure.alias("_p"))
     best = F.array_max("_p")
     rows = rows.withColumns({"probability": best, "_k": (F.array_position("_p", best) - 1).cast("int")})
     rows = rows.filter((F.col("_k") > 0) & (1 - F.col("_p")[0] >= scanner.least))
-    rows = rows.select("doc_id", "paragraph", "_words", "probability", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("_k") + 1).alias("guess"),
+    rows = rows.select("_row", "_whole", "doc_id", "paragraph", "_words", "probability", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("_k") + 1).alias("guess"),
                        F.element_at(F.array(*map(F.lit, scanner.limits)), F.col("_k") + 1).alias("_limit"))
     # a row per family, fixed
     known = notices(spark).select(F.col("family").alias("guess"), _runs(F.col("_words"), 3).alias("_notice"))
@@ -191,6 +237,11 @@ def scanned(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_
     rows = rows.withColumn("_own", F.array_distinct(_runs(F.col("_words"), 3))).join(F.broadcast(known), "guess")
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
     overlap = F.array_max(F.transform("_notices", lambda notice: share(F.array_distinct(notice), F.col("_own"))))
-    rows = rows.withColumn("overlap", overlap)
+    held = lambda notice: F.size(F.array_intersect(notice, "_own")) / F.size(F.array_distinct(notice))
+    most = F.array_max(F.transform("_notices", held))
+    rows = rows.withColumn("overlap", overlap).filter((F.col("_whole") == 1) | (F.size("_words") >= LEAST_INSIDE) | (most >= CONFIRMED))
     good = (F.col("probability") >= F.col("_limit")) & (F.col("overlap") >= CONFIRMED)
-    return rows.select("doc_id", "paragraph", F.when(good, F.col("guess")).otherwise("unknown").alias("family"), "guess", "probability", "overlap")
+    best = F.max(F.struct(good.alias("good"), "_whole", "probability", (-F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("guess"))).alias("_first"), "guess", "overlap")).alias("_b")
+    rows = rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), best)
+    family = F.when(F.col("_b.good"), F.col("_b.guess")).otherwise("unknown").alias("family")
+    return rows.select("doc_id", "paragraph", family, "_b.guess", "_b.probability", "_b.overlap")

@@ -208,3 +208,23 @@ def test_licences(spark):
     other = spark.createDataFrame([(1, "This code is licensed under the Wombat Public License, version 3."), (2, "Plain words about a garden")], "doc_id long, text string")
     assert {r.doc_id: r.family for r in licenses.scanned(other, scanner).collect()}.get(1, "unknown") == "unknown"
     assert licenses.scanned(df.limit(0), scanner).count() == 0
+
+
+def test_licences_inside_longer_lines(spark):
+    rng = random.Random(18)
+    rows = [(i, "\n".join(words(rng, 30) for _ in range(4))) for i in range(300)]
+    planted = {}
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            for n in (30, 300, 3000):
+                i = 1000 + len(planted)
+                planted[i] = family
+                rows.append((i, f"{words(rng, n // 2)} {notice} {words(rng, n // 2)}"))
+    changed = licenses.NOTICES["MIT"][2].replace("free of charge", "gratis")
+    rows += [(5000, words(rng, 200) + " " + changed), (5001, changed + " " + words(rng, 200)), (5001, changed + " " + words(rng, 200))]
+    rows += [(6000, f"{words(rng, 40)} a copy of the {words(rng, 40)} with or without {words(rng, 40)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.paragraph, r.family) for r in licenses.scanned(df).collect()]
+    expected = [*((i, 0, f) for i, f in planted.items()), (5000, 0, "MIT"), (5001, 0, "MIT"), (5001, 0, "MIT")]
+    assert sorted(x for x in found if x[2] != "unknown") == sorted(expected)
+    assert not [x for x in found if x[0] == 6000]
