@@ -2,7 +2,7 @@
 
 Base kinds are patterns. The method adds strings whose characters are as mixed as those of random
 keys: Shannon entropy in a window that slides over each candidate string, with a limit for each
-character class. The window's sum of c * log2(c) over its character counts c is carried from place to
+character class of the window, so that a hexadecimal key is also found behind ``key=`` or ``v1/``. The window's sum of c * log2(c) over its character counts c is carried from place to
 place: a step takes one character out and one in, so only their two counts matter. The sum is in
 whole millionths, so results do not depend on the order of floating-point sums. Strings on the allow
 list and spans inside base ones are not reported.
@@ -48,6 +48,9 @@ ALLOWED = (
     "0123456789",
     "^sha(256|384|512)-",
 )
+#: A window in a candidate of other characters that has the limit of hexadecimal ones. Digits alone, like numbers behind a
+#: prefix, do not.
+HEX_WINDOW = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$"
 MARK = "[SECRET]"
 
 
@@ -118,7 +121,8 @@ def _mixed_span(known: Column) -> Column:
         out = count(window, F.element_at(chars, F.greatest(i - WINDOW, F.lit(1))))
         loss = F.when(i > WINDOW, F.element_at(terms, out + 2) - F.element_at(terms, out + 1)).otherwise(0)
         total = state["sum"] + gain - loss
-        hot = (i >= WINDOW) & (total <= limit)
+        hexadecimal = F.concat(window, F.element_at(chars, i)).rlike(HEX_WINDOW)
+        hot = (i >= WINDOW) & (total <= most_sum(min(LEAST_BITS.values()))) & ((total <= limit) | hexadecimal)
         return F.struct(
             total.alias("sum"),
             F.coalesce(state["first"], F.when(hot, i - WINDOW)).alias("first"),
@@ -202,7 +206,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for :func:`digest` over ``documents``; windows are counted one by one instead of step by step."""
+    """DuckDB SQL for :func:`digest` over ``documents``; windows are counted one by one instead of step by step.
+
+    The limit is chosen by whole candidate here: hexadecimal keys of less than 32 characters behind others are missing.
+    """
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def places(name: str, pattern: str) -> str:

@@ -158,6 +158,25 @@ def test_secrets_run_without_python(spark):
     assert not re.search("Python|Arrow|Pandas", text)
 
 
+def entropy_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r._secrets if s.kind == "entropy"] for r in secret_scans.scanned(df).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_hexadecimal_keys_behind_other_characters(spark):
+    rng = random.Random(16)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 31))) for _ in range(200)]
+    alone = entropy_spans(spark, keys)
+    assert sum(map(bool, alone)) > 190
+    for before in ("key=", "v1/", "id-", "A_"):
+        for spans, moved in zip(alone, entropy_spans(spark, [before + k for k in keys])):
+            for start, end in spans:
+                assert any(a <= start + len(before) and end + len(before) <= b for a, b in moved)
+    numbers = ["A_" + "".join(rng.choice("0123456789") for _ in range(24)) for _ in range(50)]
+    assert not any(entropy_spans(spark, numbers))
+
+
 NASTY = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + "é😀" * 400
 
 
