@@ -48,6 +48,9 @@ ALLOWED = (
     "0123456789",
     "^sha(256|384|512)-",
 )
+#: The third of them for Java's engine, which goes back in the repeated group, to the cube of the length, and recurses into
+#: it: the same strings, with one way to match each. A first "_" counts as a letter where no letter is before it.
+ONE_WAY = {ALLOWED[2]: "^(?:[0-9]*+[a-z]++|[0-9]*+_[a-z]*+)[0-9]*+(?:[/_=+-]++[0-9]*+[a-z]*+[0-9]*+)*+$"}
 #: A window in a candidate of other characters that has the limit of hexadecimal ones. Digits alone, like numbers behind a
 #: prefix, do not.
 HEX_WINDOW = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$"
@@ -160,7 +163,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     def suspicious(p: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
-            allowed = allowed | p["found"].rlike(pattern)
+            allowed = allowed | p["found"].rlike(ONE_WAY.get(pattern, pattern))
         return ~allowed
 
     mixed = F.filter(F.transform(F.filter("_found", suspicious), _mixed_part), lambda s: s.isNotNull())
