@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, fingerprints, licenses, neardup, packing, quality, secret_scans, token_counts, toxicity, warc
+from labelloom.llm import alignment, bpe, fingerprints, licenses, neardup, ngrams, packing, quality, runs, secret_scans, token_counts, toxicity, warc
 from labelloom.llm.common import table, whole_text
 
 
@@ -63,5 +63,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"_quality.{n}" for n in names])
 
 
-QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_token_counts, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op6_warc_revisits, op7_bpe_round_trip, op8_license_scans, op9_minhash_near_dedup, op10_quality_rules)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [bpe.vocabulary_path(name) for name in (alignment.BYTE_VOCABULARY, alignment.PIECE_VOCABULARY)]
+    return alignment.linked(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.scanned(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngrams.scored(docs, ngrams.Model(docs.filter(~ngrams.held_out(docs["doc_id"]))))
+
+
+QUERIES = {q.__name__: q for q in (op1_best_fit_packing, op2_token_counts, op3_document_fingerprints, op4_toxicity_chain, op5_secret_scans, op6_warc_revisits, op7_bpe_round_trip, op8_license_scans, op9_minhash_near_dedup, op10_quality_rules, op11_tokenizer_alignment, op12_periodic_runs, op13_lm_scores)}
 ORACLES: dict[str, str] = {"op10_quality_rules": quality.oracle_sql(), "op5_secret_scans": secret_scans.oracle_sql(), "op6_warc_revisits": warc.oracle_sql()}
