@@ -2,11 +2,11 @@
 
 Both token sequences spell the same bytes. Where a token of each ends at the same byte, a group ends.
 Most groups are one token against one, so the arrays of token ends are equal over long stretches once
-one of them is shifted: at the current shift, spans of 1, 2, 4, ... ends are compared as wholes, and
+one of them is shifted: at the current shift, spans of 4, 8, 16, ... ends are compared as wholes, and
 halved again where they differ. At the first difference an irregular group is walked token by token to
 the next common end, which gives the new shift.
 
-Inside a group every step of that walk is one pair of tokens that share bytes, a link.
+Inside a group every step of such a walk is one pair of tokens that share bytes, a link.
 """
 
 from __future__ import annotations
@@ -33,19 +33,19 @@ PAIR_BASE = 1 << 20
 #: Links counted together in a task before they are handed on.
 SLICE_LINKS = 2_000_000
 
-Group = tuple[int, int, int, int]
+#: Ends compared first at a new shift.
+FIRST_STEP = 4
 
+#: Whether it is a run of groups of one token against one, or else a single group; first and last place + 1 in both.
+Stretch = tuple[bool, int, int, int, int]
 
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[Group]:
-    """Stretches ``from_a, to_a, from_b, to_b`` of both sequences, in order. One with as many tokens on both sides and
-    equal ends throughout is a run of groups of one token against one; any other is a single group.
 
-    Ends rise strictly and the last ones are equal.
-    """
+def stretches(ends_a: list[int], ends_b: list[int]) -> Iterator[Stretch]:
+    """Both sequences from begin to end. Ends rise strictly and the last ones are equal."""
     i = j = 0
     n, m = len(ends_a), len(ends_b)
     while i < n:
-        first_i, first_j, step = i, j, 1
+        first_i, first_j, step = i, j, min(FIRST_STEP, n - i, m - j)
         while step and ends_a[i : i + step] == ends_b[j : j + step]:
             i, j = i + step, j + step
             step = min(2 * step, n - i, m - j)
@@ -54,7 +54,7 @@ def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[Group]:
             if ends_a[i : i + step] == ends_b[j : j + step]:
                 i, j = i + step, j + step
         if i > first_i:
-            yield first_i, i, first_j, j
+            yield True, first_i, i, first_j, j
         if i == n:
             return
         first_i, first_j = i, j
@@ -67,26 +67,24 @@ def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[Group]:
                 j += 1
                 y = ends_b[j]
         i, j = i + 1, j + 1
-        yield first_i, i, first_j, j
-
-
-def is_run(group: Group, ends_a: list[int], ends_b: list[int]) -> bool:
-    """Whether a stretch from :func:`groups` is a run of one-to-one groups."""
-    a, to_a, b, to_b = group
-    return to_a - a == to_b - b and ends_a[a] == ends_b[b]
+        yield False, first_i, i, first_j, j
 
 
-def links(group: Group, ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """Places ``in a, in b`` of tokens that share bytes inside one irregular group."""
-    a, to_a, b, to_b = group
-    yield a, b
+def links(ends_a: list[int], ends_b: list[int], a: int, to_a: int, b: int, to_b: int) -> tuple[list[int], list[int]]:
+    """Places in both sequences of tokens that share bytes inside one group."""
+    if to_a - a == 1:
+        return [a] * (to_b - b), list(range(b, to_b))
+    if to_b - b == 1:
+        return list(range(a, to_a)), [b] * (to_a - a)
+    at_a, at_b = [a], [b]
     while a < to_a - 1 or b < to_b - 1:
-        x, y = ends_a[a], ends_b[b]
-        if x < y:
+        if ends_a[a] < ends_b[b]:
             a += 1
         else:
             b += 1
-        yield a, b
+        at_a.append(a)
+        at_b.append(b)
+    return at_a, at_b
 
 
 class Pair:
@@ -108,43 +106,45 @@ class Pair:
             raise ValueError("the second vocabulary is too large")
         self.names_a = [str(i) for i in range(len(self.sizes_a))]
         self.names_b = [str(i) for i in range(len(spelled))]
+        self.ends_b = [f"|{i};" for i in range(len(spelled))]
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def align(self, text: str) -> tuple[np.ndarray, list[int], list[int], list[int]]:
         """Ids of a space and the text by the first tokenizer, and of the text by the second, which adds the space
-        itself. Both are empty for an empty text, and where either spells other bytes."""
-        if not text:
-            return [], []
-        a, b = self.coder.plain_ids(" " + text), self.pieces.encode(text)
-        # byte-level ids always spell their text, so only the second has to be compared
-        if b"".join(map(self.bytes_b.__getitem__, b)) != b" " + text.encode():
-            return [], []
-        return a, b
-
-    def align(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """Ids of both and where their tokens end."""
-        a, b = self.encode(text)
-        return a, b, np.cumsum(self.sizes_a[a]).tolist() if a else [], np.cumsum(self.sizes_b[b]).tolist() if b else []
+        itself, and where their tokens end. All are empty for an empty text, and where either spells other bytes."""
+        if text and "▁" not in text:  # that sign stands for a space in pieces
+            a, b = self.coder.plain_ids(" " + text), self.pieces.encode(text)
+            # byte-level ids always spell their text, so only the second has to be compared
+            if b"".join(map(self.bytes_b.__getitem__, b)) == b" " + text.encode():
+                return a, b, np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist()
+        return np.empty(0, np.uint32), [], [], []
 
     def linked(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
         """Numbers of tokens of both and of groups, the groups' digest, and each link as a pair of ids."""
         a, b, ends_a, ends_b = self.align(text)
-        if not a:
+        if not b:
             return 0, 0, 0, "", np.empty(0, np.int64)
-        spelled, at_a, at_b = [], [], []
-        say_a, say_b = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
-        for group in groups(ends_a, ends_b):
-            i, to_i, j, to_j = group
-            if is_run(group, ends_a, ends_b):
-                spelled.extend([f"{x}|{y}" for x, y in zip(say_a[i:to_i], say_b[j:to_j])])
-                at_a.extend(range(i, to_i))
-                at_b.extend(range(j, to_j))
+        said, at_a, at_b, run_a, run_b, sizes = [], [], [], [], [], []
+        say_a, end_b = list(map(self.names_a.__getitem__, a.tolist())), list(map(self.ends_b.__getitem__, b))
+        for run, i, to_i, j, to_j in stretches(ends_a, ends_b):
+            if run:
+                part = say_a[i:to_i] * 2
+                part[::2], part[1::2] = say_a[i:to_i], end_b[j:to_j]
+                said.extend(part)
+                run_a.append(i)
+                run_b.append(j)
+                sizes.append(to_i - i)
             else:
-                spelled.append(f"{','.join(say_a[i:to_i])}|{','.join(say_b[j:to_j])}")
-                for x, y in links(group, ends_a, ends_b):
-                    at_a.append(x)
-                    at_b.append(y)
-        pairs = np.array(a, np.int64)[at_a] * PAIR_BASE + np.array(b, np.int64)[at_b]
-        return len(a), len(b), len(spelled), hashlib.sha256(";".join(spelled).encode()).hexdigest(), pairs
+                said.append(f"{','.join(say_a[i:to_i])}|{','.join([self.names_b[x] for x in b[j:to_j]])};")
+                x, y = links(ends_a, ends_b, i, to_i, j, to_j)
+                at_a.extend(x)
+                at_b.extend(y)
+        size = np.array(sizes, np.int64)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # places in runs
+        at_a = np.append(np.repeat(np.array(run_a, np.int64), size) + inside, np.array(at_a, np.int64))
+        at_b = np.append(np.repeat(np.array(run_b, np.int64), size) + inside, np.array(at_b, np.int64))
+        pairs = a.astype(np.int64)[at_a] * PAIR_BASE + np.array(b, np.int64)[at_b]
+        text = "".join(said)[:-1]
+        return len(a), len(b), text.count(";") + 1, hashlib.sha256(text.encode()).hexdigest(), pairs
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -178,11 +178,10 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
                 for value in texts:
                     a, b, ends_a, ends_b = both.align(value)
                     found = []
-                    for group in groups(ends_a, ends_b):
-                        i, to_i, j, _ = group
+                    for one_to_one, i, to_i, j, to_j in stretches(ends_a, ends_b):
                         single = [(i + k, i + k + 1, j + k, j + k + 1) for k in range(to_i - i)]
-                        found.extend(single if is_run(group, ends_a, ends_b) else [group])
-                    for column, values in zip(out, (a, b, [dict(zip(names, g)) for g in found])):
+                        found.extend(single if one_to_one else [(i, to_i, j, to_j)])
+                    for column, values in zip(out, (a.tolist(), b, [dict(zip(names, g)) for g in found])):
                         column.append(values)
                 arrays = [pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], kind)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "a_ids", "b_ids", "groups"])

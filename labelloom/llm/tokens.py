@@ -32,9 +32,9 @@ class Encoder:
         encoding = self.full if _RUN.search(text) else self.short
         return encoding.encode_to_numpy(text, allowed_special=set(self.special), disallowed_special=())
 
-    def plain_ids(self, text: str) -> list[int]:
+    def plain_ids(self, text: str) -> np.ndarray:
         """Ids that take the special token's own text as ordinary text."""
-        return (self.full if _RUN.search(text) else self.short).encode_ordinary(text)
+        return (self.full if _RUN.search(text) else self.short).encode_to_numpy(text, disallowed_special=())
 
 
 _encoders: dict[str, Encoder] = {}

@@ -120,10 +120,9 @@ def test_groups_cover_both_sequences(spark):
         ends = [sorted({rng.randrange(1, 60) for _ in range(rng.randint(0, 40))} | {60}) for _ in range(2)]
         at = [0, 0]
         cut = []
-        for i, to_i, j, to_j in alignment.groups(*ends):
+        for one, i, to_i, j, to_j in alignment.stretches(*ends):
             assert [i, j] == at and ends[0][to_i - 1] == ends[1][to_j - 1]
             at = [to_i, to_j]
-            one = alignment.is_run((i, to_i, j, to_j), *ends)
             cut.extend(ends[0][i:to_i] if one else [ends[0][to_i - 1]])
         assert at == [len(e) for e in ends] and cut == sorted(set(ends[0]) & set(ends[1]))
     df = spark.createDataFrame([(1, "Some unbelievable words"), (2, None)], "doc_id long, text string")
