@@ -108,6 +108,50 @@ def test_both_kinds_of_cuts_past_the_end(skewed):
         assert all(r.c is None and r.d is not None for r in rows)
 
 
+RANKS = {"first": lambda n: n - n, "middle": lambda n: F.floor(n * 0.5), "late": lambda n: F.floor(n * 0.9), "end": lambda n: n}
+
+
+def expected_cuts(rows, key):
+    out = {}
+    for group, members in by_group(rows).items():
+        ordered = sorted((key(r) for r in members), key=lambda k: (k is not None, k))
+        n = len(ordered)
+        out[group] = (ordered[0], ordered[n // 2], ordered[int(n * 0.9)], None)
+    return out
+
+
+@pytest.mark.parametrize("ranked,sample,errors", [(100_000, 4000, 4.0), (300, 150, 4.0), (300, 100, 0.0)])
+def test_range_cuts(skewed, monkeypatch, ranked, sample, errors):
+    """Ranked at once, by brackets of brackets, and with brackets so narrow that ranks fall outside; NULL keys and ties."""
+    for name, value in (("_RANKED_ROWS", ranked), ("_SAMPLE", sample), ("_ERRORS", errors)):
+        monkeypatch.setattr(cuts, name, value)
+    rows = skewed.withColumn("key", F.when(F.col("key") % 11 != 0, F.col("key") % 700))
+    found = {r["g"]: tuple(r[1:]) for r in cuts.range_cuts(rows, ["key"], RANKS, ["g"]).collect()}
+    assert found == expected_cuts(rows.collect(), lambda r: r["key"])
+
+
+def test_range_cuts_of_many_equal_keys(spark):
+    rows = spark.range(300_000).selectExpr("if(id < 299000, 7, id) AS key", "'a' AS g")
+    assert cuts.range_cuts(rows, ["key"], RANKS).collect() == [(7, 7, 7, None)]
+    assert cuts.range_cuts(rows, ["key"], RANKS, ["g"]).collect() == [("a", 7, 7, 7, None)]
+
+
+def test_range_cuts_of_many_groups(spark, monkeypatch):
+    """2,000 groups, one with nine tenths of the rows; keys of two columns."""
+    monkeypatch.setattr(cuts, "_RANKED_ROWS", 1000)
+    monkeypatch.setattr(cuts, "_SAMPLE", 200)
+    rows = spark.range(60_000).selectExpr("if(id % 10 < 9, -1, id div 10 % 2000) AS g", "id * 7919 % 211 AS x", "id * 31 % 60013 AS y")
+    found = {r["g"]: tuple(r[1:]) for r in cuts.range_cuts(rows, ["x", "y"], RANKS, ["g"]).collect()}
+    assert len(found) == 2001
+    assert found == expected_cuts(rows.collect(), lambda r: (r["x"], r["y"]))
+
+
+def test_range_cuts_of_nothing(spark):
+    none = spark.range(0).selectExpr("id AS key", "id AS g")
+    assert cuts.range_cuts(none, ["key"], RANKS).collect() == [(None, None, None, None)]
+    assert cuts.range_cuts(none, ["key"], RANKS, ["g"]).collect() == []
+
+
 def test_batches(skewed):
     rows = splits.shuffle_into_batches(skewed, ["key"], 16, seed=1, epoch=2).collect()
     assert sorted(r.pos for r in rows) == list(range(5000))

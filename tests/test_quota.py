@@ -69,11 +69,10 @@ def expected(arrivals, remaining):
 
 
 @pytest.mark.parametrize("target", [3, 1500, 3999, 100000])
-@pytest.mark.parametrize("ranked_rows", [100_000, 10])
+@pytest.mark.parametrize("ranked_rows", [100_000, 300])
 def test_accept_to_quota(spark, arrivals, target, ranked_rows, monkeypatch):
     monkeypatch.setattr(cuts, "_RANKED_ROWS", ranked_rows)
-    monkeypatch.setattr(cuts, "_SAMPLE", 40)
-    monkeypatch.setattr(cuts, "_STEP", 8)
+    monkeypatch.setattr(cuts, "_SAMPLE", 150)
     categories = spark.createDataFrame([("hot", 1), ("small", 1), ("full", 1), ("absent", 1)], "category string, label int")
     done = spark.createDataFrame([("small", 1, 2), ("full", 1, 100000)], "category string, label int, n bigint")
     remaining = quota.remaining_quota(categories, done, target)
@@ -85,6 +84,13 @@ def test_accept_to_quota(spark, arrivals, target, ranked_rows, monkeypatch):
     assert quota.total_generated(categories, done).first().total == 100002
 
 
+def test_quota_keeps_columns_of_any_name(spark):
+    batch = spark.createDataFrame([("c", 0, i, i, "x") for i in range(5)], "category string, label int, _last int, remaining int, _key string")
+    remaining = spark.createDataFrame([("c", 0, 2)], "category string, label int, remaining long")
+    got = quota.accept_to_quota(batch, remaining, ["_last"])
+    assert got.columns == batch.columns and sorted(r["_last"] for r in got.collect()) == [0, 1]
+
+
 def test_first_arrival_is_kept(spark):
     batch = spark.createDataFrame([("c", 0, i) for i in (4, 2, 3, 1)], "category string, label int, at int")
     sink = spark.createDataFrame([("c", 0)] * 2, "category string, label int")
