@@ -40,6 +40,20 @@ def split_ordered(
     return _label(df, cuts, key_of(*order_by), (), df.columns)
 
 
+def split_positions(
+    df: DataFrame, pos: str = "pos", total: str = "pos_total", train: float = C.TRAIN_FRACTION, val: float = C.VAL_FRACTION
+) -> DataFrame:
+    """Like :func:`split_ordered` for rows that know their position and the number of rows: arithmetic alone.
+
+    ``pos`` becomes the position inside the split; ``total`` is dropped.
+    """
+    ranks = _split_ranks(train, val)
+    val_from, test_from = (ranks[n](F.col(total)) for n in ("_val_from", "_test_from"))
+    split = F.when(F.col(pos) >= test_from, "test").when(F.col(pos) >= val_from, "val").otherwise("train")
+    first = F.when(F.col(pos) >= test_from, test_from).when(F.col(pos) >= val_from, val_from).otherwise(0)
+    return df.withColumns({"split": split, pos: F.col(pos) - first}).drop(total)
+
+
 def split_stratified(
     df: DataFrame,
     key_by: Sequence[str],

@@ -234,9 +234,8 @@ def ordered_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_ids(spark: SparkSession, sf: str) -> DataFrame:
-    documents = splits.split_ordered(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
-    numbered = positions.with_positions(documents, ["doc_id"], ["split"])
-    return splits.assign_ids(numbered).select("doc_id", "split", "id")
+    numbered = positions.with_positions(table(spark, sf, "documents").select("doc_id"), ["doc_id"], total="n")
+    return splits.assign_ids(splits.split_positions(numbered, total="n")).select("doc_id", "split", "id")
 
 
 # --- tables ----------------------------------------------------------------------------------
@@ -431,8 +430,8 @@ def parquet_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def final_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.split_ordered(labelled_documents(spark, sf).select("doc_id", "text", "class"), ["doc_id"])
-    final = splits.assign_ids(positions.with_positions(rows, ["doc_id"], ["split"]))
+    rows = positions.with_positions(labelled_documents(spark, sf).select("doc_id", "text", "class"), ["doc_id"], total="n")
+    final = splits.assign_ids(splits.split_positions(rows, total="n"))
     folder = new_path(spark, "final")
     for split in ("train", "val", "test"):
         sinks.write_final_csv(final.filter(F.col("split") == split), f"{folder}/{split}.csv")
@@ -497,16 +496,17 @@ def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_generated(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses arriving in several micro-batches, parsed and accepted up to 20 lines per category."""
+    """Responses arriving in three parts, each taken by a restart of the stream, parsed and accepted up to 20 lines per
+    category."""
     arriving, sink, checkpoint = (new_path(spark, name) for name in ("arriving", "stream", "checkpoint"))
     rows = responses(spark, sf)
-    bounds = rows.agg(F.percentile("doc_id", [0.3, 0.6]).alias("b")).first().b
+    bounds = rows.agg(F.percentile_approx("doc_id", [0.3, 0.6]).alias("b")).first().b
+    categories = stage(rows.select("category", "label").distinct(), "categories")
     low = [float("-inf"), *bounds]
     for start, end in zip(low, [*low[1:], float("inf")]):  # in order of arrival
-        rows.filter((F.col("doc_id") >= start) & (F.col("doc_id") < end)).coalesce(1).write.mode("append").parquet(arriving)
-    categories = stage(rows.select("category", "label").distinct(), "categories")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    stream_accept_to_quota(stream, categories, sink, checkpoint, ["doc_id"], 20).awaitTermination()
+        rows.filter((F.col("doc_id") >= start) & (F.col("doc_id") < end)).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(rows.schema).parquet(arriving)
+        stream_accept_to_quota(stream, categories, sink, checkpoint, ["doc_id"], 20).awaitTermination()
     return spark.read.parquet(sink).select("category", "label", "doc_id", "line_no", "sentence", "sentiment")
 
 

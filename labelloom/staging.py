@@ -39,6 +39,38 @@ def hadoop_path(spark: SparkSession, path: str) -> tuple:
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all: written aside, then renamed."""
+    target, files = hadoop_path(spark, path)
+    aside, _ = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None when there is none."""
+    found, files = hadoop_path(spark, path)
+    if not files.exists(found) or files.getFileStatus(found).isDirectory():
+        return None
+    stream = files.open(found)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_folder(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Name of each entry of a folder and whether it is a folder; none when there is no such folder."""
+    found, files = hadoop_path(spark, path)
+    if not files.exists(found):
+        return []
+    return sorted((entry.getPath().getName(), entry.isDirectory()) for entry in files.listStatus(found))
+
+
 @contextmanager
 def dropping_staged(spark: SparkSession) -> Iterator[None]:
     """Delete at the end whatever this block has staged. Nothing lazy made inside may be used later."""

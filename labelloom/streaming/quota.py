@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,30 +14,87 @@ from pyspark.sql.streaming import StreamingQuery
 from labelloom import constants as C
 from labelloom.operators.generated import parse_generated_lines
 from labelloom.operators.quota import KEYS, accept_to_quota, progress, remaining_quota
-from labelloom.staging import dropping_staged, hadoop_path, stage
+from labelloom.staging import dropping_staged, hadoop_path, list_folder, read_file, stage, write_file
 
 
 def _run_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of the run that a checkpoint belongs to, made with it. A new checkpoint counts batches from 0 again."""
-    path = f"{checkpoint}/labelloom-run"
-    found, files = hadoop_path(spark, path)
-    if not files.exists(found):
-        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return spark.read.text(path).first()[0]
+    path = f"{checkpoint}/labelloom-run.txt"
+    if read_file(spark, path) is None:
+        write_file(spark, path, uuid.uuid4().hex)
+    return read_file(spark, path)
 
 
-def _stored(categories: DataFrame, sink: str, run: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
-    """All rows below ``sink`` but those of this micro-batch, and of later ones, of the same run: also what other runs
-    and plain appends have stored."""
-    spark = categories.sparkSession
-    try:
-        stored = spark.read.option("recursiveFileLookup", True).parquet(sink)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return categories.select(*keys).limit(0)
-    own = F.regexp_extract("_metadata.file_path", f"/run={run}/batch_id=(\\d+)/", 1)
-    return stored.filter((own == "") | (own.try_cast("long") < batch_id)).select(*keys)
+class _Ledger:
+    """How many rows of each category are stored below a sink, kept beside its rows in ``_counts``.
+
+    Each micro-batch leaves one snapshot: the counts of all rows so far, and what they cover, that is the last counted
+    batch of every run and the names of files that no run wrote. The next one reads that snapshot and only rows that it
+    does not cover: of other runs, and of plain appends. Rows taken away later still count.
+    """
+
+    def __init__(self, spark: SparkSession, sink: str, run: str, keys: Sequence[str]) -> None:
+        self.spark, self.sink, self.run, self.keys = spark, sink, run, list(keys)
+        self.base = f"{sink}/_counts/run={run}"
+
+    def _snapshots(self) -> list[int]:
+        return sorted(int(name.removeprefix("upto=")) for name, folder in list_folder(self.spark, self.base) if folder)
+
+    def _covered(self, batch_id: int) -> tuple[str | None, dict]:
+        """The folder of the last whole snapshot before a batch, and what it covers."""
+        for known in reversed([b for b in self._snapshots() if b < batch_id]):
+            folder = f"{self.base}/upto={known}"
+            if (said := read_file(self.spark, f"{folder}/covered.json")) is not None:
+                return folder, json.loads(said)
+        return None, {"runs": {}, "files": []}
+
+    def _plain_files(self, folder: str = "") -> list[str]:
+        found = []
+        for name, is_folder in list_folder(self.spark, f"{self.sink}/{folder}"):
+            if name.startswith(("_", ".")) or (not folder and name.startswith("run=")):
+                continue
+            found += self._plain_files(f"{folder}{name}/") if is_folder else [f"{folder}{name}"]
+        return found
+
+    def uncovered(self, batch_id: int, covered: dict) -> tuple[list[str], dict]:
+        """Paths of stored rows that are not covered, without those of this batch and later ones of this run, and what is
+        covered with them."""
+        runs, paths = dict(covered["runs"]), []
+        for name, is_folder in list_folder(self.spark, self.sink):
+            run = name.removeprefix("run=")
+            if not is_folder or run == name:
+                continue
+            last = runs.get(run, -1)
+            for batch, _ in list_folder(self.spark, f"{self.sink}/{name}"):
+                number = int(batch.removeprefix("batch_id=")) if batch.startswith("batch_id=") else -1
+                if number > last and (run != self.run or number < batch_id):
+                    paths.append(f"{self.sink}/{name}/{batch}")
+                    runs[run] = max(runs.get(run, -1), number)
+        files = sorted(set(self._plain_files()).difference(covered["files"]))
+        return paths + [f"{self.sink}/{f}" for f in files], {"runs": runs, "files": sorted({*covered["files"], *files})}
+
+    def before(self, batch_id: int, categories: DataFrame) -> tuple[DataFrame, dict]:
+        """Stored rows per category before a batch, and what they cover."""
+        folder, covered = self._covered(batch_id)
+        paths, covered = self.uncovered(batch_id, covered)
+        parts = [self.spark.read.parquet(f"{folder}/counts")] if folder else []
+        if paths:
+            rows = self.spark.read.option("recursiveFileLookup", True).parquet(*paths)
+            parts.append(progress(rows, self.keys))
+        if not parts:
+            return progress(categories.limit(0), self.keys), covered
+        return reduce(DataFrame.unionByName, parts).groupBy(*self.keys).agg(F.sum("n").alias("n")), covered
+
+    def keep(self, batch_id: int, counts: DataFrame, covered: dict) -> None:
+        """Write the snapshot of a batch whose rows are stored, and drop those that no repeated batch can need."""
+        folder = f"{self.base}/upto={batch_id}"
+        covered = covered | {"runs": covered["runs"] | {self.run: batch_id}}
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts")
+        write_file(self.spark, f"{folder}/covered.json", json.dumps(covered))
+        for old in self._snapshots():
+            if old < batch_id - 1:
+                path, files = hadoop_path(self.spark, f"{self.base}/upto={old}")
+                files.delete(path, True)
 
 
 def stream_accept_rows(
@@ -51,21 +109,28 @@ def stream_accept_rows(
 ) -> StreamingQuery:
     """Write the first ``target`` rows of each category to ``sink``, over all micro-batches, restarts and runs.
 
-    Each micro-batch counts what is stored, so full categories are dropped before any shuffle and no
-    ledger can disagree with the rows. A micro-batch owns the folder of its run and number and replaces
-    it when it is run again after a failure; one that accepts nothing writes nothing. Its rows are
-    worked out once, into a staged table that is deleted in the end.
+    Each micro-batch knows what is stored from the counts that the one before it left, and counts rows written by
+    others since, so full categories are dropped before any shuffle and what is read does not grow with the number of
+    micro-batches. It owns the folder of its run and number and replaces it, and its counts, when it is run again
+    after a failure; one that accepts nothing leaves no rows. Arrived rows are staged and deleted in the end.
     """
     spark = categories.sparkSession
-    run = _run_of(spark, checkpoint)
+    ledger = _Ledger(spark, sink, _run_of(spark, checkpoint), keys)
 
     def accept(batch: DataFrame, batch_id: int) -> None:
-        with dropping_staged(batch.sparkSession):
+        with dropping_staged(spark):
             arrived = stage(batch, "arrived")
-            done = progress(_stored(categories, sink, run, batch_id, keys), keys)
+            done, covered = ledger.before(batch_id, categories)
+            done = stage(done, "done")
+            folder = f"{sink}/run={ledger.run}/batch_id={batch_id}"
             accepted = accept_to_quota(arrived, remaining_quota(categories, done, target, keys), arrival, keys)
-            if not accepted.isEmpty():
-                accepted.write.mode("overwrite").parquet(f"{sink}/run={run}/batch_id={batch_id}")
+            accepted.write.mode("overwrite").parquet(folder)
+            new = progress(spark.read.schema(accepted.schema).parquet(folder), keys)
+            if new.isEmpty():
+                path, files = hadoop_path(spark, folder)
+                files.delete(path, True)
+                new = new.limit(0)
+            ledger.keep(batch_id, stage(done.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n")), "counts"), covered)
 
     writer = rows.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

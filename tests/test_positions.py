@@ -67,6 +67,17 @@ def test_split_ordered(spark, n, want):
     assert ordered == ["train"] * want[0] + ["val"] * want[1] + ["test"] * want[2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 10, 1000])
+def test_split_positions(spark, n):
+    numbered = positions.with_positions(spark.range(n).select((F.lit(n) - F.col("id")).alias("k")), ["k"], total="n")
+    got = sorted((r.k, r.split, r.pos) for r in splits.split_positions(numbered, total="n").collect())
+    whole = {r.k: r.split for r in splits.split_ordered(spark.range(n).select((F.lit(n) - F.col("id")).alias("k")), ["k"]).collect()}
+    seen = {"train": 0, "val": 0, "test": 0}
+    for k, split, pos in got:
+        assert split == whole[k] and pos == seen[split]
+        seen[split] += 1
+
+
 def test_split_ordered_without_a_test_part(spark):
     rows = splits.split_ordered(spark.range(20), ["id"], 0.5, 0.5).collect()
     assert [r.split for r in sorted(rows)] == ["train"] * 10 + ["val"] * 10

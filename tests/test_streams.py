@@ -14,6 +14,7 @@ from labelloom.plans.queries import letter_model
 from labelloom.plans.scoring import answer_requests
 from labelloom.sources.sinks import append_with_header
 from labelloom.staging import shared_folder
+from labelloom.streaming import quota
 from labelloom.streaming.quota import stream_accept_to_quota
 from labelloom.streaming.scoring import stream_score
 
@@ -92,6 +93,38 @@ def test_a_full_quota_writes_nothing_and_staged_tables_go(spark, folders):
     assert before == (set(staged.iterdir()), set(Path(folders["sink"]).rglob("batch_id=*")))
 
 
+def test_reads_do_not_grow_with_earlier_batches(spark, folders, monkeypatch):
+    """Every batch reads the one snapshot before it, and rows of others once."""
+    read = []
+    plain = quota._Ledger.uncovered
+    monkeypatch.setattr(quota._Ledger, "uncovered", lambda *a: (read.append(plain(*a)), read[-1])[1])
+    for n in range(8):
+        add_file(spark, folders["in"], [n])
+    rows = run(spark, folders, 1000)
+    assert {r.category: r.n for r in progress(rows).collect()} == {"hot": 160, "rare": 160}
+    append_with_header(spark.createDataFrame([("rare", 2)] * 8, "category string, label int"), folders["sink"])
+    for n in range(8, 12):
+        add_file(spark, folders["in"], [n])
+    run(spark, folders, 230)
+    assert [len(paths) for paths, _ in read] == [0] * 8 + [len(read[8][0])] + [0] * 3 and read[8][0]
+    snapshots = sorted(p.name for p in Path(folders["sink"]).glob("_counts/run=*/upto=*"))
+    assert snapshots == ["upto=10", "upto=11"]
+    stored = spark.read.options(recursiveFileLookup=True).schema("category string, label int").parquet(folders["sink"])
+    assert {r.category: r.n for r in progress(stored).collect()} == {"hot": 230, "rare": 230}
+
+
+def test_a_snapshot_without_its_mark_is_not_used(spark, folders):
+    """As after a failure in the middle: the rows of the batches are read again."""
+    add_file(spark, folders["in"], [0])
+    add_file(spark, folders["in"], [1])
+    run(spark, folders, 100)
+    for mark in Path(folders["sink"]).glob("_counts/run=*/upto=*/covered.json"):
+        mark.unlink()
+    add_file(spark, folders["in"], [2, 3, 4, 5])
+    rows = run(spark, folders, 100)
+    assert {r.category: r.n for r in progress(rows).collect()} == {"hot": 100, "rare": 60}
+
+
 def test_scores(spark, folders):
     requests = spark.createDataFrame([(1, "aaa b"), (2, " \t"), (3, "iii e"), (4, None)], "k int, text string")
     requests.repartition(3).write.parquet(folders["in"])
