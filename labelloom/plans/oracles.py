@@ -34,6 +34,7 @@ _FEEDBACK = f"""{_LABELLED}, feedback AS (
   SELECT doc_id, lang, category, class, unnest(string_split(text, chr(10))) AS sentence,
          CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no
   FROM labelled)"""
+_FEEDBACK_ONLY = _FEEDBACK.removeprefix(_LABELLED + ", ") + ", "
 _GENERATED = f"""{_LABELLED}, responses AS (
   SELECT doc_id, category, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS label,
          {_strip("array_to_string([x || ',' || class for x in string_split(text, chr(10))], chr(10))")} AS response
@@ -124,6 +125,11 @@ def _success(name: str) -> str:
 _ERROR = f"""'{{"status":"error","message":"{C.MISSING_TEXT_MESSAGE}"}}'"""
 _FITTING = "length(line) - length(replace(line, ',', ''))"
 
+_STREAM_SCORES = f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations),
+        c AS (SELECT *, [length(text) - length(replace(text, x, '')) for x in ['a', 'e', 'i']] AS c FROM t)
+        SELECT conv_id, turn, CASE WHEN text = '' THEN {_ERROR}
+        ELSE {_success(_case("list_position(c, list_max(c)) - 1", C.SERVING_NAMES))} END AS response FROM c"""
+
 ORACLES: dict[str, str] = {
     "clean_text": f"""SELECT doc_id, {_strip("text")} AS stripped, {_collapse("text")} AS collapsed,
         replace(text, '"', '') AS unquoted FROM (SELECT doc_id, {AWKWARD} AS text FROM documents)""",
@@ -231,6 +237,26 @@ ORACLES: dict[str, str] = {
     "lenient_rows": f"""WITH {_FEEDBACK}, plain AS (SELECT replace(sentence, '"', '') AS line FROM feedback)
         SELECT nullif(string_split(line, ',')[1], '') AS sentence, nullif(string_split(line, ',')[2], '') AS sentiment
         FROM plain WHERE line <> '' AND {_FITTING} <= 1""",
+    "lenient_split": f"""WITH awkward AS (SELECT doc_id, {AWKWARD} AS sentence, lang AS sentiment FROM documents)
+        SELECT sentence, sentiment, split FROM {_ordered('awkward', 'doc_id', 'sentence, sentiment')}""",
+    "lenient_holdout": f"""WITH {_FEEDBACK}, plain AS (SELECT doc_id, line_no, replace(sentence, '"', '') AS line FROM feedback),
+        r AS (SELECT nullif(string_split(line, ',')[1], '') AS sentence, nullif(string_split(line, ',')[2], '') AS sentiment,
+          row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos, count(*) OVER () AS n FROM plain WHERE line <> '' AND {_FITTING} <= 1)
+        SELECT sentence, sentiment, 'train' AS split FROM r UNION ALL
+        SELECT sentence, sentiment, 'test' FROM r WHERE pos >= n - floor(n::DOUBLE * {C.HOLDOUT_FRACTION}::DOUBLE)""",
+    "final_corpus": f"""WITH {_GENERATED.replace("responses AS (", _FEEDBACK_ONLY + "responses AS (", 1)},
+        aligned AS (SELECT 'aligned' AS source, split, replace(sentence, '"', '') AS sentence, class AS sentiment FROM {_ordered(
+            f"(SELECT doc_id, line_no, {_strip('sentence')} AS sentence, class FROM feedback WHERE {_strip('sentence')} <> '')",
+            'doc_id, line_no', 'sentence, class')}),
+        numbered AS (SELECT replace(nullif(text, ''), '"', '') AS sentence, {_case("class", {0: 0, 2: 2})} AS sentiment,
+            row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM labelled),
+        worded AS (SELECT 'worded' AS source, CASE WHEN pos >= n - floor(n::DOUBLE * {C.HOLDOUT_FRACTION}::DOUBLE) THEN 'test' ELSE 'train' END AS split,
+            sentence, sentiment FROM numbered),
+        capped AS (SELECT * FROM accepted_lines QUALIFY row_number() OVER (PARTITION BY category, label ORDER BY doc_id, line_no) <= 20),
+        filled AS (SELECT 'filled' AS source, split, sentence, sentiment FROM {_ordered('capped', 'category, label, doc_id, line_no', 'sentence, sentiment')}),
+        combined AS (FROM aligned UNION ALL FROM worded UNION ALL FROM filled),
+        raw AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY source, sentence NULLS FIRST, sentiment NULLS FIRST) - 1 AS pos FROM combined)
+        SELECT split, {_id("split", "pos")} AS id, sentence AS text, coalesce(sentiment, 1) AS class FROM raw""",
     "unquoted_round_trip": "SELECT text AS sentence, lang AS sentiment FROM documents",
     "escaped_rows": f"SELECT {AWKWARD} AS sentence, lang AS sentiment FROM documents",
     "append_and_rewrite": f"""SELECT event_id, event_type AS category, {_case("event_type", EVENT_LABELS)} AS label,
@@ -239,10 +265,8 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= {TARGET}""",
     "stream_generated": f"""WITH {_GENERATED} SELECT category, label, doc_id, line_no, sentence, sentiment FROM accepted_lines
         QUALIFY row_number() OVER (PARTITION BY category, label ORDER BY doc_id, line_no) <= 20""",
-    "stream_scores": f"""WITH t AS (SELECT conv_id, turn, {_collapse("text")} AS text FROM conversations),
-        c AS (SELECT *, [length(text) - length(replace(text, x, '')) for x in ['a', 'e', 'i']] AS c FROM t)
-        SELECT conv_id, turn, CASE WHEN text = '' THEN {_ERROR}
-        ELSE {_success(_case("list_position(c, list_max(c)) - 1", C.SERVING_NAMES))} END AS response FROM c""",
+    "stream_scores": _STREAM_SCORES,
+    "answered_requests": _STREAM_SCORES,
     "corpus_slice": f"""WITH {_FEEDBACK}, accepted AS (
           SELECT doc_id, line_no, class FROM feedback WHERE length(replace(sentence, '"', '')) BETWEEN {C.MIN_CHARS} AND {C.MAX_CHARS}
           QUALIFY row_number() OVER (PARTITION BY category, class ORDER BY doc_id, line_no) <= 50),

@@ -17,7 +17,7 @@ from labelloom.functions import labels as L
 from labelloom.functions import scores as S
 from labelloom.functions import text as T
 from labelloom.operators import classifier, features, generated, metrics, paraphrase, positions, quota, splits, tables
-from labelloom.plans import corpus, training
+from labelloom.plans import corpus, scoring, training
 from labelloom.sources import csv, lines, sinks
 from labelloom.staging import new_path, stage
 from labelloom.streaming.quota import stream_accept_rows, stream_accept_to_quota
@@ -455,6 +455,59 @@ def lenient_rows(spark: SparkSession, sf: str) -> DataFrame:
     return csv.read_csv_lenient(spark, path)
 
 
+def lenient_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole awkward texts, line breaks and quotes included, written as CSV and split in file order after a lenient read."""
+    path = new_path(spark, "lenient")
+    rows = _in_order(awkward_documents(spark, sf).select("doc_id", "text", "lang"), "doc_id")
+    sinks.write_csv(rows.select(F.col("text").alias("sentence"), F.col("lang").alias("sentiment")), path)
+    read = csv.read_csv_lenient(spark, path, "quoted", positions=True)
+    return splits.split_ordered(read, ["pos"]).select("sentence", "sentiment", "split")
+
+
+def lenient_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines taken as CSV lines, some with too many fields, and the last tenth of the others in file order."""
+    path = new_path(spark, "lenient")
+    line = T.remove_quotes("sentence").alias("sentence,sentiment")
+    sinks.write_plain(_in_order(feedback(spark, sf).select("doc_id", "line_no", "sentence"), "doc_id", "line_no").select(line), path)
+    read = csv.read_csv_lenient(spark, path, positions=True)
+    return splits.tail_holdout(read, ["pos"]).select("sentence", "sentiment", "split")
+
+
+def final_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job: aligned files, CSV files with label words and generated responses, each cleaned and split, combined
+    and given ids."""
+    folder = new_path(spark, "aligned")
+    rows = _in_order(feedback(spark, sf).select("doc_id", "line_no", "sentence", "class"), "doc_id", "line_no")
+    rows = stage(rows.filter(T.strip_text("sentence") != ""), "aligned-rows")
+    for name, value in (("sents", F.col("sentence")), ("sentiments", F.col("class").cast("string"))):
+        _in_order(rows, "doc_id", "line_no").select(value.alias("value")).write.text(f"{folder}/train/{name}")
+    aligned, _ = lines.read_aligned_lines(spark, folder, {"sentence": "sents", "sentiment": "sentiments"}, ["train"])
+    aligned = corpus.clean_sentences(splits.split_ordered(aligned.drop("split"), ["pos"]))
+
+    path = new_path(spark, "words")
+    worded = labelled_documents(spark, sf).withColumn("word", L.lookup(F.col("class"), WORDS))
+    worded = _in_order(worded, "doc_id").select(F.col("text").alias("sentence"), F.col("word").alias("sentiment"))
+    sinks.write_csv(worded, f"{path}/words.csv")
+    worded = corpus.clean_sentences(csv.read_csv_dir(spark, f"{path}/*.csv", positions=True), label_words=True)
+    worded = splits.tail_holdout(worded, ["pos"], exclude_from_train=True)
+
+    asked = responses(spark, sf)
+    filled = stage(corpus.fill_categories(asked, asked.select("category", "label").distinct(), None, ["doc_id"], 20), "filled")
+    filled = splits.split_ordered(filled, ["category", "label", "doc_id", "line_no"])
+
+    combined = stage(corpus.combined_splits(aligned=aligned, worded=worded, filled=filled), "combined")
+    # rows that are equal in all of these are interchangeable
+    raw = positions.with_positions(combined, ["source", "sentence", "sentiment"], ["split"])
+    label = F.col("sentiment").cast("string").alias("label")
+    return corpus.final_corpus(raw.select("split", "pos", F.col("sentence").alias("text"), label))
+
+
+def answered_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch form of ``stream_scores``."""
+    requests = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return scoring.answer_requests(requests, letter_model()).select("conv_id", "turn", "response")
+
+
 def unquoted_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "unquoted")
     sinks.write_unquoted(table(spark, sf, "documents"), path, "text", "lang")
@@ -550,7 +603,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         softmax_argmax, score_records, accuracy_f1_loss, pooled_metrics, metrics_by_split, select_best,
         respond_json, fit_and_score, fit_metrics, fit_checks,
         zip_by_position, zip_tables, csv_round_trip, parquet_round_trip, final_csv_round_trip, raw_rows,
-        lenient_rows, unquoted_round_trip, escaped_rows, append_and_rewrite,
+        lenient_rows, lenient_split, lenient_holdout, final_corpus, answered_requests, unquoted_round_trip, escaped_rows, append_and_rewrite,
         stream_quota, stream_generated, stream_scores, corpus_slice,
     )
 }

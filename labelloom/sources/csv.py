@@ -2,110 +2,56 @@
 
 Two dialects are known: ``quoted`` doubles a quote inside quotes, ``escaped`` puts a backslash
 before it. The lenient reader also knows ``unquoted``: lines with backslashes and without quotes, as
-``write_unquoted`` makes them.
+``write_unquoted`` makes them. Large files are read by many tasks, whether or not there are line
+breaks inside quotes, see :mod:`labelloom.sources.records`; ``multi_line=False`` says that there are none.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.labels import parse_label
-from labelloom.operators.positions import file_columns, with_file_positions
+from labelloom.operators.joins import broadcast_if_small
 from labelloom.operators.tables import ensure_column
-from labelloom.sources.lines import unquoted_rows
+from labelloom.sources.records import Records, columns
 from labelloom.staging import stage
 
-# The character that escapes a quote in each dialect.
-ESCAPES = {"quoted": '"', "escaped": "\\"}
-SENTENCE_COLUMNS = "sentence string, sentiment string"
-_RECORD = "_record"
-
-
-def _read(spark: SparkSession, path: str, schema: str, dialect: str, multi_line: bool) -> DataFrame:
-    return (
-        spark.read.schema(f"{schema}, {_RECORD} string")
-        .option("header", True)
-        .option("escape", ESCAPES[dialect])
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", _RECORD)
-        .option("columnPruning", False)  # fields are counted on whole lines, whatever columns are used
-        .csv(path)
-    )
-
-
-def _has_unquoted_comma(record: Column, dialect: str) -> Column:
-    if dialect == "escaped":
-        record = F.replace(record, F.lit('\\"'), F.lit(""))
-    return F.contains(F.regexp_replace(record, '"[^"]*"', ""), F.lit(","))
-
-
-def _too_many(dialect: str) -> Column:
-    return F.col(_RECORD).isNotNull() & _has_unquoted_comma(F.col(_RECORD), dialect)
-
-
-def _too_few(dialect: str) -> Column:
-    return F.col(_RECORD).isNotNull() & ~_has_unquoted_comma(F.col(_RECORD), dialect)
+SENTENCE_COLUMNS = ("sentence", "sentiment")
 
 
 def read_csv_lenient(
-    spark: SparkSession, path: str, dialect: str = "escaped", multi_line: bool = True
+    spark: SparkSession, path: str, dialect: str = "escaped", multi_line: bool = True, positions: bool = False
 ) -> DataFrame | None:
     """Rows ``(sentence, sentiment)``: rows with too many fields are dropped, missing fields are NULL.
 
-    Returns None when there is no such file. Quoted line breaks need ``multi_line``, which reads each
-    file in one task; switch it off for large files that hold none.
+    Returns None when there is no such file. ``positions`` adds ``pos``, the place of the row in its file or folder
+    of part files, from 0; dropped rows leave gaps.
     """
     try:
-        if dialect == "unquoted":
-            return unquoted_rows(_plain_lines(spark, path))
-        rows = _read(spark, path, SENTENCE_COLUMNS, dialect, multi_line)
+        records = Records(spark, path, dialect, multi_line)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    # Spark refuses to read the record column alone, so a count has to need a second one.
-    record = F.concat(F.col(_RECORD), F.substring(F.coalesce("sentence", F.lit("")), 1, 0))
-    rows = rows.withColumn(_RECORD, record)
-    return rows.filter(~_too_many(dialect)).drop(_RECORD)
-
+    rows = records.rows().filter(F.size("fields") <= len(SENTENCE_COLUMNS))
+    return rows.select(*columns(SENTENCE_COLUMNS), *(["pos"] if positions else []))
 
-def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines below the header of each file, as they are."""
-    unused = {"sep": "\x01", "quote": "", "header": True}
-    return spark.read.schema("value string").options(**unused).csv(path)
 
-
-def read_csv_dir(spark: SparkSession, path: str, dialect: str = "quoted", multi_line: bool = True) -> DataFrame:
+def read_csv_dir(
+    spark: SparkSession, path: str, dialect: str = "quoted", multi_line: bool = True, positions: bool = False
+) -> DataFrame:
     """The first two columns, by position, of every CSV file of a folder or glob, with ``source_file``.
 
-    Each file's own header is skipped. Files whose header has fewer than two columns are ignored.
+    Each file's own header is skipped. Files whose header has fewer than two columns are ignored. ``positions`` adds
+    ``pos``: rows of all files are counted in order of folder, part number and name; ignored files leave gaps.
     """
-    rows = (
-        spark.read.schema(SENTENCE_COLUMNS)
-        .option("header", True)
-        .option("pathGlobFilter", "*.csv")
-        .option("escape", ESCAPES[dialect])
-        .option("multiLine", multi_line)
-        .csv(path)
-        .select(
-            "sentence",
-            "sentiment",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_name").alias("source_file"),
-        )
-    )
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    first_blocks = lines.select("value", F.monotonically_increasing_id().alias("_at"), *_file()).filter("_block = 0")
-    headers = first_blocks.groupBy("_file").agg(F.min_by("value", "_at").alias("header"))
+    records = Records(spark, path, dialect, multi_line, "*.csv")
     # Written, so that Spark knows its size: one row per file.
-    wide = stage(headers.filter(_has_unquoted_comma(F.col("header"), dialect)).select(F.col("_file").alias("_path")), "headers")
-    return rows.join(wide, "_path", "left_semi").drop("_path")
-
-
-def _file() -> list[Column]:
-    return [column.alias(name) for name, column in file_columns().items()]
+    wide = stage(records.headers().filter(F.size("fields") >= 2).select("_file"), "headers")
+    rows = records.rows().join(broadcast_if_small(wide), "_file", "left_semi")
+    return rows.select(*columns(SENTENCE_COLUMNS), "source_file", *(["pos"] if positions else []))
 
 
 def read_raw_rows(spark: SparkSession, path: str, dialect: str = "quoted", multi_line: bool = True) -> DataFrame:
@@ -114,13 +60,9 @@ def read_raw_rows(spark: SparkSession, path: str, dialect: str = "quoted", multi
     ``pos`` counts all rows of the file, also the skipped ones. Bytes that are not UTF-8 become U+FFFD,
     an empty field stays empty text. The label is still text: see ``parse_label``.
     """
-    raw = _read(spark, path, "text string, label string", dialect, multi_line)
-    numbered = with_file_positions(raw.select("text", "label", _RECORD, *_file()))
-    return numbered.filter(~_too_few(dialect)).select(
-        "pos",
-        F.coalesce(F.make_valid_utf8("text"), F.lit("")).alias("text"),
-        F.coalesce("label", F.lit("")).alias("label"),
-    )
+    rows = Records(spark, path, dialect, multi_line).rows().filter(F.size("fields") >= 2)
+    text, label = columns(("text", "label"))
+    return rows.select("pos", F.coalesce(text, F.lit("")).alias("text"), F.coalesce(label, F.lit("")).alias("label"))
 
 
 def read_splits(spark: SparkSession, folder: str, dialect: str = "quoted", multi_line: bool = True) -> DataFrame:
@@ -131,17 +73,20 @@ def read_splits(spark: SparkSession, folder: str, dialect: str = "quoted", multi
     """
     parts = []
     for split in ("train", "val", "test"):
-        reader = spark.read.option("header", True).option("escape", ESCAPES[dialect]).option("multiLine", multi_line)
         try:
-            rows = reader.csv(f"{folder}/{split}.csv")
+            records = Records(spark, f"{folder}/{split}.csv", dialect, multi_line)
         except AnalysisException:
             if split != "test":
                 raise
-            rows = spark.createDataFrame([], "id string, text string, class int")
+            rows = spark.createDataFrame([], "id string, text string, class string")
+        else:
+            header = records.headers().orderBy("_file").first()  # the part files of a split have equal headers
+            names = list(header["fields"]) if header else ["id", "text", "class"]
+            rows = records.rows().select(*columns(names))
         if split == "test":
             rows = ensure_column(rows)
         label = F.col("class").try_cast("int").alias("class")
-        parts.append(rows.select(F.lit(split).alias("split"), F.col("id").cast("string"), F.col("text").cast("string"), label))
+        parts.append(rows.select(F.lit(split).alias("split"), "id", "text", label))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from labelloom import staging
+from labelloom.operators import splits
 from labelloom.plans import corpus
 from labelloom.sources import csv, lines, sinks
+from labelloom.sources.records import Records, columns
 
 FILES = {"sentence": "sents.txt", "sentiment": "sentiments.txt"}
 
@@ -221,3 +226,91 @@ def test_lenient_reader_of_unquoted_lines(spark, tmp_path):
         [("a, b", "2"), ("plain", "1"), ("few", None), (None, "\\N"), ("  c ", None)], key=repr
     )
     assert csv.read_csv_lenient(spark, str(tmp_path / "missing.csv"), "unquoted") is None
+
+
+@pytest.fixture()
+def small_blocks(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def csv_text(rows, dialect):
+    """Lines of rows of texts; what needs quotes has them, and some others have them too."""
+    def field(value, k):
+        if not (set(value) & set(',"\n\r')) and k % 3:
+            return value
+        value = value.replace('"', '""') if dialect == "quoted" else value.replace("\\", "\\\\").replace('"', '\\"')
+        return f'"{value}"'
+
+    return "".join(",".join(field(v, i + k) for k, v in enumerate(row)) + ("\r\n" if i % 5 == 0 else "\n") for i, row in enumerate(rows))
+
+
+@pytest.mark.parametrize("dialect", ["quoted", "escaped"])
+def test_records_across_blocks(spark, tmp_path, small_blocks, dialect):
+    """Quoted line breaks, quotes at every place, blank lines and records much longer than a block."""
+    rng = random.Random(6)
+    rows = [["head", "label"]]
+    for i in range(90):
+        text = "".join(rng.choice('ab,"\n\n') for _ in range(rng.choice([0, 3, 9, 30, 300])))
+        rows.append([text, f"{i}"] + (["more"] if i % 17 == 0 else []))
+    written = csv_text(rows, dialect)
+    path = put(tmp_path / "in.csv", written + "\n\n" + csv_text([["last", ""]], dialect))
+    got = csv.read_csv_lenient(spark, path, dialect, positions=True)
+    records = Records(spark, path, dialect)
+    assert records.blocks.count() > 20 and not records.plain
+    want = [(r[0], r[1], i) for i, r in enumerate([*rows[1:], ["last", ""]]) if len(r) == 2]
+    assert sorted(((r.sentence or "", r.sentiment or "", r.pos) for r in got.collect()), key=lambda r: r[2]) == want
+    split = splits.split_ordered(got, ["pos"])
+    assert {r.pos for r in split.filter("split = 'train'").collect()} == {r[2] for r in want[: int(0.8 * len(want))]}
+
+
+@pytest.mark.parametrize("dialect", ["quoted", "escaped"])
+def test_blocks_do_not_change_what_is_read(spark, tmp_path, dialect):
+    """Any characters at all: stray quotes, unclosed ones, backslashes; cut at every place and read as a whole."""
+    rng = random.Random(11)
+    for n in range(2):
+        path = put(tmp_path / f"{n}.csv", "h,i\n" + "".join(rng.choice('ab,,""\n\n\\ \r') for _ in range(700)) + "\n")
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        whole = sorted((r.pos, r.fields) for r in Records(spark, path, dialect).rows().collect())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+        cut = Records(spark, path, dialect)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert cut.blocks.count() > 10
+        assert sorted((r.pos, r.fields) for r in cut.rows().collect()) == whole
+        assert [p for p, _ in whole] == list(range(len(whole)))
+
+
+def test_fields_are_those_of_the_csv_reader(spark, tmp_path):
+    """Records of one line with quotes and backslashes anywhere, against Spark's own reader."""
+    rng = random.Random(12)
+    for dialect, escape in (("quoted", '"'), ("escaped", "\\")):
+        made = ["".join(rng.choice('ab"",, \\' if dialect == "escaped" else 'ab"",, ') for _ in range(rng.randint(1, 9))) for _ in range(400)]
+        quoted = [m for m in made if csv_closed(m, dialect) and m.strip()]
+        path = put(tmp_path / f"{dialect}.csv", "h,i\n" + "".join(f"{m}\n" for m in quoted))
+        names = [f"c{i}" for i in range(10)]
+        schema = ", ".join(f"{n} string" for n in names)
+        theirs = spark.read.schema(schema).options(header=True, escape=escape).csv(path).collect()
+        ours = Records(spark, path, dialect).rows().select("pos", *columns(names)).orderBy("pos").collect()
+        assert [tuple(r) for r in theirs] == [tuple(r)[1:] for r in ours]
+
+
+def csv_closed(line, dialect):
+    """Whether every field that begins with a quote is plainly quoted; others, readers take in their own ways."""
+    inside = r'(?:[^"]|"")*' if dialect == "quoted" else r'(?:[^"\\]|\\["\\])*'
+    return re.fullmatch(rf'(?:"{inside}"|[^",][^,]*|)(?:,(?:"{inside}"|[^",][^,]*|))*', line) is not None
+
+
+def test_positions_over_files_and_headers(spark, tmp_path, small_blocks):
+    put(tmp_path / "b/part-00010-x.csv", "s,l\nlast,1\n")
+    put(tmp_path / "b/part-00002-x.csv", '"s\n\n",l\n"one\ntwo",1\n\nthree,0\n')
+    put(tmp_path / "b/part-00003-x.csv", "only one\nw\n")
+    rows = csv.read_csv_dir(spark, str(tmp_path / "b"), positions=True).collect()
+    assert sorted((r.pos, r.sentence, r.source_file) for r in rows) == [
+        (0, "one\ntwo", "part-00002-x.csv"), (1, "three", "part-00002-x.csv"), (3, "last", "part-00010-x.csv"),
+    ]
+    put(tmp_path / "empty.csv", "")
+    assert csv.read_csv_lenient(spark, str(tmp_path / "empty.csv")).count() == 0
