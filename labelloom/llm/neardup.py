@@ -216,3 +216,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that with the smallest id.
+
+    Rows are told apart by id and text, so an id with several texts is decided for each of them, and no group is lost
+    because another text of its id belongs to a second group. Of rows with one id and one text the smallest in its other
+    columns stays. Null ids come after all others; null, empty and wordless texts are in no group, but equal rows of
+    them still are copies of each other. An empty table stays empty.
+    """
+    own = docs.columns
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    rows = docs.select(F.struct(*own).alias("_row"), key.alias("_key"))
+    found = near_duplicates(rows.select("_key", F.col("_row")[text].alias("text")), width, percent, "_key")
+    found = stage(found.groupBy(F.col("doc_id").alias("_own")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "decided")
+    gone = broadcast_if_small(found.filter("not kept").select("_own"))
+    kept = rows.join(gone, F.col("_key") == F.col("_own"), "left_anti")
+    again = found.filter("kept and n > 1").select("_own")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    again = broadcast_if_small(again)
+    first = kept.join(again, F.col("_key") == F.col("_own"), "left_semi").groupBy("_key").agg(F.min("_row").alias("_row"))
+    return kept.join(again, F.col("_key") == F.col("_own"), "left_anti").select("_row.*").unionByName(first.select("_row.*"))

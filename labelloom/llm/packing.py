@@ -222,8 +222,10 @@ def pack(items: DataFrame, keys: Sequence[str], length: str = "length", capacity
     runs = plan(histogram, capacity)
     earlier = Window.partitionBy("_length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("_length", "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_length", "_chunk").orderBy(*keys)
-    ranked = staged.withColumns({"_length": F.col(length).cast("long"), "_chunk": chunk})
+    # the row is carried whole, so that its columns may have any names
+    names = [f"_k{i}" for i in range(len(keys))]
+    ranked = staged.select(F.struct(*own).alias("_item"), F.col(length).cast("long").alias("_length"), chunk.alias("_chunk"), *[F.col(k).alias(n) for k, n in zip(keys, names)])
+    inside = Window.partitionBy("_length", "_chunk").orderBy(*names)
     ranked = ranked.withColumn("_row", F.row_number().over(inside))
     ranked = ranked.join(firsts.withColumn("_length", F.col("_length").cast("long")), ["_length", "_chunk"])
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_row") - 1)
@@ -234,7 +236,7 @@ def pack(items: DataFrame, keys: Sequence[str], length: str = "length", capacity
     place = F.col("_rank") - F.col("_first")
     hit = (F.col("_length") == F.col("_l")) & (place >= 0) & (place < F.col("_count"))
     return ranked.join(F.broadcast(placed), hit).select(
-        *own,
+        "_item.*",
         (F.col("_sequence") + F.floor(place / F.col("_each"))).alias("sequence_id"),
         (F.col("_offset") + F.pmod(place, F.col("_each")) * F.col("_length")).alias("offset"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm import alignment, bpe, fingerprints, licenses, neardup, ngrams, packing, quality, runs, secret_scans, token_counts, toxicity, warc
-from labelloom.llm.common import table, whole_text
+from labelloom.llm.common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.counted(docs, token_counts.lines(whole_text(docs)), bpe.vocabulary_path())
+    return token_counts.counted(table(spark, sf_dir, "documents"), None, bpe.vocabulary_path())
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,20 +23,21 @@ from labelloom.llm.tokens import encoder
 RULES = ("first", "last", "most")
 
 
+def line_spans(text: str) -> np.ndarray:
+    """Sections ``start, end``: the lines of a text, without the line breaks, empty lines included; the empty text is one."""
+    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 10)
+    return np.stack([np.append(0, breaks + 1), np.append(breaks, len(text))], 1)
+
+
 def lines(text: Column) -> Column:
-    """Sections ``start, end``: the lines of a text, without the line breaks, empty lines included."""
-    parts = F.split(text, "\n", -1)
-    ends = F.aggregate(
-        F.transform(parts, lambda p: F.length(p)),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, n: F.concat(out, F.array(_after(out, n))),
-    )
-    return F.when(F.size(parts) > 0, ends)
+    """The same as an array of sections, null for a null text; in time that is linear in the text."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
+    def run(texts: pa.Array) -> pa.Array:
+        found = [None if t is None else [{"start": a, "end": b} for a, b in line_spans(t).tolist()] for t in texts.to_pylist()]
+        return pa.array(found, kind)
 
-def _after(out: Column, n: Column) -> Column:
-    start = F.coalesce(F.try_element_at(out, F.lit(-1))["end"] + 1, F.lit(0))
-    return F.struct(start.alias("start"), (start + n).alias("end"))
+    return F.arrow_udf(run, "array<struct<start:int,end:int>>")(text)
 
 
 def character_spans(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +70,24 @@ def allocate(starts: np.ndarray, stops: np.ndarray, sections: np.ndarray, rule:
 
 
 def counted(
-    docs: DataFrame, sections: Column, path: str, rule: str = "most", id_col: str = "doc_id", text: str = "text"
+    docs: DataFrame, sections: Column | None, path: str, rule: str = "most", id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc_id, section, start, end, n_tokens``: a row per section of every whole text, and one with section -1 and null
     places for tokens in none, if there are any.
 
     ``sections`` is an array of structs ``start, end`` in code points, end exclusive, sorted and not overlapping (else an
-    error); an empty section takes no tokens; null means no sections. Null and empty texts have no tokens. Repeated rows
+    error); an empty section takes no tokens; null means no sections. No column at all (None) means the lines of each
+    text, see :func:`line_spans`. Null and empty texts have no tokens. Repeated rows
     give repeated results. Other columns are read only by ``sections``. An empty table gives an empty table.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     ship(docs.sparkSession)
-    places = F.transform(sections, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    kind = "array<struct<start:int,end:int>>"
+    places = F.lit(None).cast(kind) if sections is None else F.transform(sections, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
     rows = docs.select(docs[id_col].alias("doc_id"), whole_text(docs, text).alias("text"), places.alias("sections"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    by_line = sections is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -93,7 +97,7 @@ def counted(
             for i in range(batch.num_rows):
                 value, spans = batch.column(1)[i].as_py(), batch.column(2)[i]
                 own = spans.values if spans.is_valid else None
-                table = np.empty((0, 2), np.int64)
+                table = line_spans(value) if by_line else np.empty((0, 2), np.int64)
                 if own is not None and len(own):
                     table = np.stack([own.field(0).to_numpy(False), own.field(1).to_numpy(False)], 1).astype(np.int64)
                     if (table[1:, 0] < table[:-1, 1]).any() or (table[:, 0] > table[:, 1]).any():

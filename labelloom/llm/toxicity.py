@@ -5,15 +5,21 @@ penalty) over words and word beginnings, and over the probabilities of the categ
 training those come from out-of-fold predictions: every row is scored by models that have not seen
 it, so a later model learns how far the earlier ones can be trusted.
 
-Models are fitted on a sample of at most about ``MOST_ROWS`` labelled rows, chosen by hash, whose
-features, small numbers, come to the driver: a fit takes a few hundred steps over them, each of which
-would be a job of its own on the cluster. Every document is scored, in the tasks that read it.
+The last category decides: its model is fed by the probabilities of all the others, and its limit is the
+one that does best for its own out-of-fold predictions.
+
+Models are fitted on a sample of labelled rows, chosen by hash, of at most about ``MOST_ROWS`` rows and
+``MOST_ENTRIES`` features. Tokens are counted by category and fold in Spark, which also chooses the
+strongest of each model; only these, as small numbers, come to the driver: a fit takes a few hundred steps
+over them, each of which would be a job of its own on the cluster. Every document is scored, in the tasks
+that read it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +30,10 @@ from pyspark.sql import types as T
 from labelloom.llm.common import ship, whole_text
 from labelloom.staging import stage
 
-#: Order of the chain. All come from the two flags of the label table.
-CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
-#: Bounds: labelled rows used, rows a feature must be in, features of one model.
-MOST_ROWS, LEAST_ROWS, MOST_FEATURES = 20_000, 4, 400
+#: Order of the chain, the last of which decides. All come from the two flags of the label table.
+CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
+#: Bounds: labelled rows used, rows a feature must be in, features of one model, and features of all rows together.
+MOST_ROWS, LEAST_ROWS, MOST_FEATURES, MOST_ENTRIES = 20_000, 4, 400, 4_000_000
 #: Letters of a word's beginning that is a feature of its own, for words at least one longer.
 BEGINNINGS = (4, 5)
 FOLDS, PENALTY, STEPS = 3, 0.0001, 400
@@ -56,7 +62,7 @@ class Rows:
 
     def __init__(self, features: np.ndarray, sizes: np.ndarray, n: int) -> None:
         self.features, self.sizes, self.n = features, sizes, n
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def take(self, keep: np.ndarray) -> Rows:
         inside = keep[self.row]
@@ -64,7 +70,7 @@ class Rows:
 
     def only(self, wanted: np.ndarray) -> Rows:
         """The rows with these features alone, numbered anew."""
-        number = np.full(self.n, -1)
+        number = np.full(self.n, -1, np.int32)
         number[wanted] = np.arange(len(wanted))
         inside = number[self.features] >= 0
         return Rows(number[self.features[inside]], np.bincount(self.row[inside], minlength=len(self.sizes)), len(wanted))
@@ -84,13 +90,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of features and of the categories before, and an intercept."""
 
-    def __init__(self, rows: Rows, before: np.ndarray, target: np.ndarray) -> None:
-        """Fit by accelerated proximal gradient steps on the features that tell most about the target."""
-        n, positive = len(target), target.sum()
-        there, with_target = rows.summed(np.ones(n)), rows.summed(target)
-        expected = there * (positive / n)
-        strength = (with_target - expected) ** 2 / (expected * (1 - positive / n) + 1)
-        self.chosen = np.sort(np.argsort(-strength, kind="stable")[:MOST_FEATURES])
+    def __init__(self, rows: Rows, before: np.ndarray, target: np.ndarray, chosen: np.ndarray) -> None:
+        """Fit by accelerated proximal gradient steps on the chosen features."""
+        n, self.chosen = len(target), chosen
         inner = rows.only(self.chosen)
         k = before.shape[1]
         weights = np.zeros(len(self.chosen) + k + 1)
@@ -123,25 +125,27 @@ def best_limit(scores: np.ndarray, target: np.ndarray) -> float:
     return float(np.clip((ranked[at] + below) / 2, *LIMITS))
 
 
-def fit_chain(rows: Rows, targets: np.ndarray, fold: np.ndarray) -> tuple[list[Model], float]:
-    """A model per column of ``targets``, and the limit for the first. Rows of each fold are scored by a model of the others,
+#: Features of the model of each category, by number, and of the models that leave one fold out.
+Chosen = dict[tuple[int, int | None], np.ndarray]
+
+
+def fit_chain(rows: Rows, targets: np.ndarray, fold: np.ndarray, chosen: Chosen) -> tuple[list[Model], float]:
+    """A model per column of ``targets``, and the limit for the last. Rows of each fold are scored by a model of the others,
     for the columns after and for the limit.
 
     Where all rows are in one fold, there is nothing outside it and the full model scores them.
     """
-    models, before, limit = [], np.zeros((len(targets), 0)), LIMIT
+    models, before = [], np.zeros((len(targets), 0))
+    folds = np.unique(fold)
     for i in range(targets.shape[1]):
-        models.append(Model(rows, before, targets[:, i]))
+        models.append(Model(rows, before, targets[:, i], chosen[i, None]))
         scores = models[-1].probability(rows, before)
-        for k in np.unique(fold):
+        for k in folds if len(folds) > 1 else ():
             inside = fold == k
-            if i + 1 < targets.shape[1] and not inside.all():
-                part = Model(rows.take(~inside), before[~inside], targets[~inside, i])
-                scores[inside] = part.probability(rows.take(inside), before[inside])
+            part = Model(rows.take(~inside), before[~inside], targets[~inside, i], chosen[i, int(k)])
+            scores[inside] = part.probability(rows.take(inside), before[inside])
         before = np.column_stack([before, scores])
-    if len(np.unique(fold)) > 1:
-        limit = best_limit(before[:, 0], targets[:, 0])
-    return models, limit
+    return models, best_limit(before[:, -1], targets[:, -1]) if len(folds) > 1 else LIMIT
 
 
 class Chain:
@@ -175,29 +179,64 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     texts = docs.select(docs[id_col].alias("_doc"), whole_text(docs, text).alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     split = F.arrow_udf(lambda a: pa.array([sorted(tokens(t.as_py())) for t in a], pa.list_(pa.string())), T.ArrayType(T.StringType()))
-    fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
-    rows = stage(rows.select("_id", *CATEGORIES, fold, split("_text").alias("tokens")), "training")
-    kinds = rows.agg(F.min(CATEGORIES[0]), F.max(CATEGORIES[0])).first()
+    fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS))
+    rows = rows.select("_id", *CATEGORIES, fold.cast("int").alias("fold"), split("_text").alias("tokens"))
+    rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "training")
+    kinds = rows.agg(F.min(CATEGORIES[-1]), F.max(CATEGORIES[-1])).first()
     if kinds[0] != 0 or kinds[1] != 1:
         return None
-    # bounded by the sample: tokens of its rows
-    often = rows.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    vocabulary = sorted(often.filter(F.col("n") >= LEAST_ROWS).select("t").toArrow().column(0).to_pylist())
+    return _fitted(rows)
+
+
+def _strongest(rows: DataFrame) -> DataFrame:
+    """``model, fold, t``: the tokens that tell most about the category of each model, that is how far the number of rows
+    with token and category is from what their shares let expect. ``fold`` is the one left out, null for none."""
+    totals = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CATEGORIES]).collect()  # FOLDS rows
+    folds = sorted(r["fold"] for r in totals)
+    each = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in folds]
+    each += [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in folds for c in CATEGORIES]
+    tokens = rows.select("fold", *CATEGORIES, F.explode("tokens").alias("t")).groupBy("t").agg(*each)
+    tokens = stage(tokens.filter(sum((F.col(f"n{k}") for k in folds), F.lit(0)) >= LEAST_ROWS), "token-counts")
+    parts = []
+    for i, category in enumerate(CATEGORIES):
+        for out in [None, *(folds if len(folds) > 1 else [])]:
+            used = [k for k in folds if k != out]
+            n, positive = (sum(r[x] for r in totals if r["fold"] in used) for x in ("n", category))
+            there, both = (sum((F.col(f"{x}{k}") for k in used), F.lit(0.0)) for x in ("n", category))
+            expected = there * (positive / n)
+            strength = F.pow(both - expected, F.lit(2)) / (expected * (1 - positive / n) + 1)
+            best = tokens.orderBy(F.desc(strength), "t").limit(MOST_FEATURES)
+            parts.append(best.select(F.lit(i).alias("model"), F.lit(out).cast("int").alias("fold"), "t"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _fitted(rows: DataFrame) -> Chain:
+    """A chain fitted in the driver on the chosen features of the staged rows."""
+    strongest = _strongest(rows).collect()  # MOST_FEATURES rows for each of a few models
+    vocabulary = sorted({r["t"] for r in strongest})
     number = {t: i for i, t in enumerate(vocabulary)}
-    coded = F.arrow_udf(
-        lambda a: pa.array([[number[t] for t in row.as_py() if t in number] for row in a], pa.list_(pa.int32())), T.ArrayType(T.IntegerType())
-    )
-    found = rows.select("_id", *CATEGORIES, "fold", coded("tokens").alias("f")).toArrow().combine_chunks().sort_by("_id")
-    lists = found.column("f").combine_chunks()
+    chosen: dict[tuple[int, int | None], list[int]] = {}
+    for r in strongest:
+        chosen.setdefault((r["model"], r["fold"]), []).append(number[r["t"]])
+    known = rows.sparkSession.createDataFrame(list(number.items()) or [("", 0)], "t string, f int")
+    found = rows.select("_row", F.explode("tokens").alias("t")).join(F.broadcast(known), "t").groupBy("_row").agg(F.collect_list("f").alias("f"))
+    found = stage(rows.drop("tokens").join(found, "_row", "left").withColumn("f", F.coalesce("f", F.array().cast("array<int>"))), "features")
+    share = min(1.0, MOST_ENTRIES / max(found.agg(F.sum(F.size("f"))).first()[0] or 0, 1))
+    if share < 1:
+        found = found.filter(F.pmod(F.xxhash64("_id", F.lit("entries")), F.lit(10**12)) < int(share * 10**12))
+    table = found.toArrow().combine_chunks().sort_by([("_id", "ascending"), ("_row", "ascending")])
+    lists = table.column("f").combine_chunks()
     sizes = np.asarray(lists.value_lengths())
-    targets = np.column_stack([found.column(c).to_numpy() for c in CATEGORIES])
-    models, limit = fit_chain(Rows(lists.flatten().to_numpy(), sizes, len(vocabulary)), targets, found.column("fold").to_numpy())
+    coded = Rows(lists.flatten().to_numpy().astype(np.int32), sizes, len(vocabulary))
+    targets, fold = np.column_stack([table.column(c).to_numpy() for c in CATEGORIES]), table.column("fold").to_numpy()
+    del table, lists
+    models, limit = fit_chain(coded, targets, fold, {k: np.sort(np.array(v, np.int32)) for k, v in chosen.items()})
     return Chain(models, vocabulary, limit)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``_toxicity``: a probability per category and ``toxic``, whether that of the
-    first category reaches the limit that does best for the out-of-fold predictions.
+    last category reaches the limit that does best for the out-of-fold predictions.
 
     Null and empty texts are scored as texts without words. Repeated rows get equal scores; repeated label rows count
     as often as they occur, and labels of unknown documents are ignored. Without labelled documents of both kinds there
@@ -218,5 +257,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
         p = F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(whole_text(docs, text))
     rows = docs.select(*own, p.alias("_toxicity"))
-    toxic = F.coalesce(F.col("_toxicity")[names[0]] >= (chain.limit if chain else LIMIT), F.lit(False))
+    toxic = F.coalesce(F.col("_toxicity")[names[-1]] >= (chain.limit if chain else LIMIT), F.lit(False))
     return rows.withColumn("_toxicity", F.struct(*[F.col("_toxicity")[n].alias(n) for n in names], toxic.alias("toxic")))

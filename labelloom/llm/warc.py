@@ -29,8 +29,8 @@ _BREAK = "\r\n"
 
 
 def _record_id(page: Column) -> Column:
-    """A name-based id: the hash of the page's id in the form of a UUID."""
-    h = F.md5(F.concat(F.lit("page:"), page.cast("string")))
+    """A name-based id: the hash of the page's id and of the payload's digest in the form of a UUID."""
+    h = F.md5(F.concat(F.lit("page:"), page.cast("string"), F.lit(":"), F.col("digest")))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -42,18 +42,19 @@ def _one_line(value: Column) -> Column:
 def with_roles(pages: DataFrame, archives: int) -> DataFrame:
     """Columns ``page_id, url, payload`` with ``n_bytes, digest`` and ``original``, the page a revisit refers to, else null.
 
-    Rows are dealt by page id to so many parts, which the join with the revisits keeps: payloads are shuffled once.
+    Rows are dealt by page id and payload to so many parts, which the join with the revisits keeps: payloads are shuffled
+    once. A page id with several payloads has a role for each of them.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     headers = rows.filter(F.col("n_bytes") >= LEAST_BYTES).groupBy("digest", "n_bytes")
     shared = headers.agg(F.max("page_id").alias("original"), F.count("*").alias("_n")).filter("_n > 1")
-    # only digests that occur again are joined, and to headers: payloads are met by page id later
+    # only digests that occur again are joined, and to headers: payloads are met by these three later
     heads = rows.select("page_id", "digest", "n_bytes").filter(F.col("n_bytes") >= LEAST_BYTES)
     found = heads.join(shared.drop("_n"), ["digest", "n_bytes"]).filter("page_id <> original")
-    revisits = found.select("page_id", "original").distinct()
-    return rows.repartition(archives, "page_id").join(revisits, "page_id", "left")
+    each = ["page_id", "digest", "n_bytes"]
+    return rows.repartition(archives, *each).join(found.select(*each, "original").distinct(), each, "left")
 
 
 def records(roles: DataFrame) -> Column:
@@ -82,7 +83,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     page id is stored and the others refer to it.
 
     Null payloads are empty; rows with a null page id are stored whole. Rows that repeat a page id with the stored payload
-    are stored again. Other columns are ignored. An empty table gives an archive without records.
+    are stored again; an id with several payloads has a record of its own for each. Other columns are ignored. An empty table gives an archive without records.
     """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     archives = total // ARCHIVE_BYTES + 1
@@ -177,7 +178,7 @@ def resolved(found: DataFrame) -> DataFrame:
     """
     headers = stage(found.select("record_id", "record_type", "page_id", "digest", "refers_to", "n_bytes"), "headers")
     revisits = headers.filter("record_type = 'revisit'")
-    # equal page ids give equal responses, hence the distinct
+    # a page id repeated with the same payload gives equal responses, hence the distinct
     named = headers.filter("record_type = 'response'").select(
         "digest", F.col("record_id").alias("refers_to"), F.col("page_id").alias("original"), F.col("n_bytes").alias("size")
     )

@@ -137,3 +137,16 @@ def test_fingerprints_of_odd_tables(spark):
     assert found.count() == 5 and found.filter("near_next between 0 and 1").count() == 5
     assert fingerprints.fingerprints(again.limit(0)).count() == 0
     assert found.select(fingerprints.compared("fingerprint", F.lit("")).alias("p")).filter("p = 1").count() == 2
+
+
+def test_one_row_of_each_group_stays_where_an_id_has_several_texts(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(30)) for name in "ghk"}
+    rows = [(3, "g"), (5, "g"), (5, "h"), (8, "h"), (None, "k"), (None, "g"), (9, "k"), (9, "k")]
+    data = [(i, texts[t], t, "x") for i, t in rows] + [(20, None, "-", "x"), (21, "", "-", "y"), (21, "", "-", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, name string, _key string")
+    found = neardup.representatives(docs)
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id, r.name, r._key) for r in found.collect()) == [
+        (3, "g", "x"), (5, "h", "x"), (9, "k", "x"), (20, "-", "x"), (21, "-", "x"),
+    ]
+    assert neardup.representatives(docs.limit(0)).count() == 0

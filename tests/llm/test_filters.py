@@ -8,6 +8,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,15 @@ def toxic_rows(rng, start, n):
         yield i, " ".join(text), int(toxic), int(rng.random() < 0.8)
 
 
+def test_the_sample_is_bounded_by_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 2000)
+    rows = list(toxic_rows(random.Random(2), 0, 600))
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, t, q in rows], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r._toxicity.toxic for r in toxicity.scored(docs, labels).collect()}
+    assert sum(found[i] != bool(t) for i, _, t, _ in rows) <= 30
+
+
 def test_the_chain_finds_held_out_toxic_texts(spark):
     rows = list(toxic_rows(random.Random(2), 0, 900))
     docs = spark.createDataFrame([(i, t, "x") for i, t, _, _ in rows] + [(5000, None, "x"), (5001, "", "x"), (3, rows[3][1], "x")], "doc_id long, text string, _p_toxic string")
@@ -84,6 +94,24 @@ def test_the_chain_finds_held_out_toxic_texts(spark):
     assert all(0 <= by[i].p_toxic_prose <= 1 for i in range(900))
 
 
+def test_the_deciding_link_is_fed_by_the_others():
+    """Neither word of the first links tells the last category on its own features: it takes the earlier probabilities."""
+    rng = np.random.default_rng(3)
+    first = rng.random(600) < 0.5
+    second = rng.random(600) < 0.5
+    features = np.concatenate([[0] * a + [1] * b for a, b in zip(first.tolist(), second.tolist())]).astype(np.int32)
+    rows = toxicity.Rows(features, first.astype(int) + second, 3)
+    targets = np.column_stack([first, second, first | second]).astype(float)
+    nothing = np.array([2], np.int32)
+    keys = [None, 0, 1, 2]
+    chosen = {(i, k): np.array([i], np.int32) if i < 2 else nothing for i in range(3) for k in keys}
+    models, limit = toxicity.fit_chain(rows, targets, np.arange(600) % 3, chosen)
+    chain = toxicity.Chain(models, ["aaa", "bbb", "ccc"], limit)
+    assert all(w > 0 for w in models[2].before)
+    for text, want in (("aaa", True), ("bbb", True), ("aaa bbb", True), ("ccc", False), ("", False)):
+        assert (chain.probabilities(text)[2] >= limit) == want
+
+
 def test_the_chain_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     for labels in ([], [(1, 1, 0)]):
@@ -257,3 +285,14 @@ def test_licences_inside_longer_lines(spark):
     expected = [*((i, 0, f) for i, f in planted.items()), (5000, 0, "MIT"), (5001, 0, "MIT"), (5001, 0, "MIT")]
     assert sorted(x for x in found if x[2] != "unknown") == sorted(expected)
     assert not [x for x in found if x[0] == 6000]
+
+
+def test_a_page_id_with_two_payloads_keeps_both(spark):
+    a, b = "a" * 1000, "b" * 2000
+    rows = [(7, "u", a), (7, "u", b), (9, "u", a), (11, "u", b), (11, "u", a + "c"), (None, "u", a), (7, "u", b)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.original) for r in warc.round_trip(spark, pages).collect())
+    assert found == [
+        (0, 1000, "response", None), (7, 1000, "revisit", 9), (7, 2000, "revisit", 11), (7, 2000, "revisit", 11),
+        (9, 1000, "response", None), (11, 1001, "response", None), (11, 2000, "response", None),
+    ]

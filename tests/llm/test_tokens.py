@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labelloom.llm import bpe, packing, token_counts
@@ -187,3 +188,24 @@ def test_pack_with_one_length_in_most_rows(spark):
     assert packing.pack(rows.limit(0), ["k"]).count() == 0
     with pytest.raises(ValueError):
         packing.pack(rows.selectExpr("k", "cast(null as int) length"), ["k"])
+
+
+def test_lines_of_a_very_long_text(spark):
+    """A million lines in a few seconds, by the sections of a column and by those the task finds itself."""
+    text = "ab\n" * 1_000_000 + "é😀"
+    spans = token_counts.line_spans(text)
+    assert len(spans) == 1_000_001 and spans[1].tolist() == [3, 5] and spans[-1].tolist() == [3_000_000, 3_000_002]
+    rows = spark.createDataFrame([(1, "a b\n\nc\n"), (2, ""), (3, None), (4, text)], "doc_id long, text string")
+    found = token_counts.counted(rows, None, PATH).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    counts = {r.doc_id: (r.n, r.t) for r in found.collect()}
+    assert counts[4][0] in (1_000_001, 1_000_002) and counts[2] == counts[3] == (1, 0)
+    few = rows.filter("doc_id < 4")
+    by_column = token_counts.counted(few, token_counts.lines(F.coalesce("text", F.lit(""))), PATH).collect()
+    assert sorted(by_column) == sorted(token_counts.counted(few, None, PATH).collect())
+
+
+def test_packed_rows_keep_columns_of_any_name(spark):
+    rows = spark.range(50).selectExpr("id", "'mine' AS _row", "'own' AS _chunk", "id AS _rank", "1 AS _base", "int(id % 7 + 1) AS _length")
+    found = packing.pack(rows, ["id"], length="_length", capacity=20)
+    assert found.columns == [*rows.columns, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:6] for r in found.collect()) == sorted(map(tuple, rows.collect()))
