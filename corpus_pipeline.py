@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import bpe, neardup, packing, quality, secret_scans, toxicity
 from labelloom.llm.common import table
-from labelloom.operators.joins import broadcast_if_small
 from labelloom.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,21 +31,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id: five-word shingles, similarity 0.8.
-
-    Rows with a null id stay, as nothing names them.
-    """
-    rows = docs.select(*COLUMNS)
-    found = stage(neardup.near_duplicates(rows), "near-duplicates")
-    # repeated rows share an id and would all be kept: one of those with the same id stays
-    gone = broadcast_if_small(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    kept = rows.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if again.isEmpty():
-        return kept
-    repeated = broadcast_if_small(stage(again.withColumnRenamed("doc_id", "_again"), "repeated"))
-    first = kept.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r"))
-    return kept.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(first.select("doc_id", "r.*"))
+    """One document of each group of near-duplicates, that with the smallest id: five-word shingles, similarity 0.8."""
+    return neardup.representatives(docs.select(*COLUMNS))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
