@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +55,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return docs.select(docs[id_col].alias("doc_id"), whole_text(docs, text).alias("text"))
 
 
+def free_unused() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on, beside each other, for later tasks.
+
+    For the end of a batch; where the C library has no such call, only Arrow's memory is given back.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import id_and_text, ship, whole_text
+from labelloom.llm.common import free_unused, id_and_text, ship, whole_text
 from labelloom.llm.components import components
 from labelloom.llm.shingles import mixed, shingle_hashes
 from labelloom.operators.joins import broadcast_if_small
@@ -78,6 +78,7 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text: str =
                     sets.append(None)
                     a.append(None)
                     b.append(None)
+            free_unused()
             columns = [pa.array(n, pa.int64()), pa.array(sets, pa.binary()), *(pa.array(x, pa.list_(pa.int32())) for x in (a, b))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_shingles", "set_id", "a", "b"])
 
@@ -95,6 +96,7 @@ def shingle_sets(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
                 ids = pa.array(map(set_id, found), pa.binary())
                 sets = pa.array([np.sort(hashes.view(np.int64)) for hashes in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, sets], names=["id", "shingles"])
+            free_unused()
 
     return rows.mapInArrow(run, "id binary, shingles array<bigint>")
 
@@ -125,21 +127,22 @@ def _family_links(percent: int):
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         queries, members = block[block["query"]], block[~block["query"]]
-        rank = {s: i for i, s in enumerate(np.unique(np.concatenate(queries["shingles"].tolist())).tolist())} if len(queries) else {}
-        known = np.fromiter(rank, np.int64, len(rank))
-        table = np.zeros((len(queries), len(known) + 1), bool)
-        for i, found in enumerate(queries["shingles"]):
-            table[i, np.searchsorted(known, found)] = True
-        sizes = queries["shingles"].map(len).to_numpy()
+        # every shingle of the queries with the query it is from, by shingle: as large as the texts themselves
+        sizes = queries["shingles"].map(len).to_numpy(np.int64)
+        held = np.concatenate([*queries["shingles"], np.empty(0, np.int64)])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], np.repeat(np.arange(len(queries)), sizes)[order]
+        parts, ids = queries["part"].to_numpy(), queries["id"].to_numpy()
         a, b = [], []
         for cls, part, found in zip(members["id"], members["part"], members["shingles"]):
-            at = np.searchsorted(known, found)
-            at = at[known[np.minimum(at, len(known) - 1)] == found] if len(known) else at[:0]
-            common = table[:, at].sum(axis=1)
-            hit = (100 * common >= percent * (sizes + len(found) - common)) & (queries["part"].to_numpy() != part)
-            other = queries["id"].to_numpy()[hit]
+            low, high = np.searchsorted(held, found, "left"), np.searchsorted(held, found, "right")
+            n = high - low
+            common = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(queries))
+            hit = (100 * common >= percent * (sizes + len(found) - common)) & (parts != part)
+            other = ids[hit]
             a.extend([cls] * len(other))
             b.extend(other.tolist())
+        free_unused()
         return pd.DataFrame({"a": a, "b": b})
 
     return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import id_and_text, ship
+from labelloom.llm.common import free_unused, id_and_text, ship
 from labelloom.llm.tokens import encoder
 from labelloom.staging import stage
 
@@ -192,6 +192,7 @@ def pieces(
                     length.append(stop - at)
                     crc.append(zlib.crc32(ids[at:stop].tobytes()))
                     at, stop = stop, stop + capacity
+            free_unused()
             ids = batch.column(0).take(pa.array(row, pa.int64()))
             columns = [ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])

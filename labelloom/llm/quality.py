@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import ship, whole_text
+from labelloom.llm.common import free_unused, ship, whole_text
 from labelloom.operators.joins import broadcast_if_small, join_null_safe
 from labelloom.staging import stage
 
@@ -60,6 +60,7 @@ def text_counts(text: str) -> tuple[int, ...]:
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in _COUNTS]))
 def _counts(texts: pa.Array) -> pa.Array:
     found = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(_COUNTS))
+    free_unused()
     return pa.StructArray.from_arrays([pa.array(column) for column in found.T], names=list(_COUNTS))
 
 

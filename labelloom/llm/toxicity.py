@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import ship, whole_text
+from labelloom.llm.common import free_unused, ship, whole_text
 from labelloom.staging import stage
 
 #: Order of the chain, the last of which decides. All come from the two flags of the label table.
@@ -178,7 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, id_col
     chosen = flags.filter(F.pmod(F.xxhash64("_id"), F.lit(10**12)) < int(share * 10**12))
     texts = docs.select(docs[id_col].alias("_doc"), whole_text(docs, text).alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    split = F.arrow_udf(lambda a: pa.array([sorted(tokens(t.as_py())) for t in a], pa.list_(pa.string())), T.ArrayType(T.StringType()))
+
+    def listed(texts: pa.Array) -> pa.Array:
+        out = pa.array([sorted(tokens(t.as_py())) for t in texts], pa.list_(pa.string()))
+        free_unused()
+        return out
+
+    split = F.arrow_udf(listed, T.ArrayType(T.StringType()))
     fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS))
     rows = rows.select("_id", *CATEGORIES, fold.cast("int").alias("fold"), split("_text").alias("tokens"))
     rows = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "training")
@@ -253,6 +259,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
         def run(texts: pa.Array) -> pa.Array:
             out = np.array([chain.probabilities(t.as_py()) for t in texts]).reshape(len(texts), len(names))
+            free_unused()
             return pa.StructArray.from_arrays([pa.array(column) for column in out.T], names=names)
 
         p = F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))(whole_text(docs, text))

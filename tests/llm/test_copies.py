@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from labelloom.llm import components as components_module
 from labelloom.llm import fingerprints, neardup
 from labelloom.llm.components import components
 
@@ -150,3 +153,30 @@ def test_one_row_of_each_group_stays_where_an_id_has_several_texts(spark):
         (3, "g", "x"), (5, "h", "x"), (9, "k", "x"), (20, "-", "x"), (21, "-", "x"),
     ]
     assert neardup.representatives(docs.limit(0)).count() == 0
+
+
+def test_components_of_heavy_nodes(spark, monkeypatch):
+    """Stars around one node and chains of stars, with heavy nodes apart."""
+    monkeypatch.setattr(components_module, "HEAVY", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(199, 300)] + [(300, i) for i in range(301, 400)] + [(500, 501), (501, 502)]
+    found = {r.node: r.component for r in components_module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in [*range(200), *range(300, 400)]}, 500: 500, 501: 500, 502: 500}
+
+
+def test_links_inside_one_family_of_long_texts():
+    """One block of a family: 40 texts of 20,000 shingles, in memory that is linear in them."""
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(-(1 << 62), 1 << 62, 20_000))
+    rows = []
+    for i in range(40):
+        own = base.copy()
+        own[rng.random(len(own)) < 0.004 * i] += 1
+        rows.append({"id": bytes([i]), "part": bytes([i]), "shingles": np.unique(own), "query": i < 20})
+    found = neardup._family_links(90)(pd.DataFrame(rows))
+    want = set()
+    for m in rows[20:]:
+        for q in rows[:20]:
+            both = len(np.intersect1d(m["shingles"], q["shingles"]))
+            if 100 * both >= 90 * (len(m["shingles"]) + len(q["shingles"]) - both):
+                want.add((m["id"], q["id"]))
+    assert set(zip(found["a"], found["b"])) == want and 0 < len(want) < 400
