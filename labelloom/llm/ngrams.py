@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from labelloom.llm import lookup
 from labelloom.llm.bpe import slices
-from labelloom.llm.common import id_and_text, ship
+from labelloom.llm.common import free_unused, id_and_text, ship
 from labelloom.llm.shingles import mixed, words
 from labelloom.staging import stage
 
@@ -186,6 +186,7 @@ def _gathered(docs: DataFrame, shards: int) -> DataFrame:
                 own, pairs, _ = keys_of(texts)
                 held[0].append(own)
                 held[1].append(pairs)
+            free_unused()
                 if sum(map(len, held[0])) > SLICE_KEYS:
                     yield added()
         if held[0]:
@@ -291,6 +292,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
             for batch in batches:
                 for part, texts in slices(batch, 1):
                     yield pa.RecordBatch.from_arrays([part.column(0), *parts(texts, sent.value.levels)], names=names)
+                    free_unused()
 
         found = rows.mapInArrow(run, schema)
     else:
