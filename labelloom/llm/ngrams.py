@@ -186,9 +186,9 @@ def _gathered(docs: DataFrame, shards: int) -> DataFrame:
                 own, pairs, _ = keys_of(texts)
                 held[0].append(own)
                 held[1].append(pairs)
-            free_unused()
                 if sum(map(len, held[0])) > SLICE_KEYS:
                     yield added()
+            free_unused()
         if held[0]:
             yield added()
 
