@@ -26,8 +26,13 @@ def render_paraphrase_requests(
 
 
 def join_paraphrases(df: DataFrame, answers: DataFrame, key: Sequence[str], answer: str = "answer") -> DataFrame:
-    """Every row with its answer, NULL when there is none. ``answers`` holds at most one row per key."""
-    return df.join(answers.select(*key, answer), list(key), "left")
+    """Every row with its answer, NULL when there is none.
+
+    No key multiplies its rows: of several answers to one key the least in order of text counts, blank ones and NULL last.
+    """
+    said = F.when(T.strip_text(answer) != "", F.col(answer))
+    one = answers.groupBy(*key).agg(F.coalesce(F.min(said), F.min(answer)).alias(answer))
+    return df.join(one, list(key), "left")
 
 
 def apply_paraphrases(

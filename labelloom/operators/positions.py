@@ -7,6 +7,7 @@ sizes turns those numbers into positions: no task sees a whole table or a whole
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,6 +95,25 @@ def with_hash_positions(
     return numbered.withColumn(pos, number).drop("_hash", "_chunk", "_shift")
 
 
+def permuted(pos: Column, n: int, key: str, method: str = "xxhash64") -> Column:
+    """The place of ``pos`` in an order of 0 .. n - 1 fixed by ``key``: a permutation worked out by arithmetic, without a shuffle.
+
+    Swap-or-not: each round pairs every number with its mirror image about a point of its own, and a bit hashed from the larger
+    of the two swaps both or neither. So every round is a permutation whatever ``n`` is, and no value ever has to be drawn
+    again. Six rounds per binary digit of ``n`` mix it well.
+    """
+    middles = [int(hashlib.md5(f"{key}-{r}".encode()).hexdigest()[:15], 16) % max(n, 1) for r in range(6 * n.bit_length())]
+    rounds = F.array(*[F.struct(F.lit(f"{key}-{r}").alias("key"), F.lit(m).cast("long").alias("middle")) for r, m in enumerate(middles)])
+
+    def step(x: Column, one: Column) -> Column:
+        mirror = (one["middle"] - x + n) % n
+        larger = F.greatest(x, mirror)
+        swap = F.substring(F.md5(F.concat_ws("-", one["key"], larger)), 1, 1) >= "8" if method == "md5" else F.xxhash64(one["key"], larger) < 0
+        return F.when(swap, mirror).otherwise(x)
+
+    return F.aggregate(rounds, pos.cast("long"), step) if middles else pos.cast("long")
+
+
 def with_file_positions(df: DataFrame, pos: str = "pos", total: str | None = None) -> DataFrame:
     """Add the 0-based position of each row in its file, or in a folder of part files in name order.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom import constants as C
 from labelloom.operators.cuts import Ranks, attach_cuts, hash_cuts, key_of, range_cuts, reaches
-from labelloom.operators.positions import hash_of, with_hash_positions
+from labelloom.operators.positions import hash_of, permuted, with_hash_positions
 
 
 def _share(n: Column, fraction: float) -> Column:
@@ -99,6 +99,25 @@ def shuffle_into_batches(
     return in_batches(shuffled, batch_size)
 
 
+def epoch_batches(
+    df: DataFrame,
+    batch_size: int = C.BATCH_SIZE,
+    seed: int = 0,
+    epoch: int = 0,
+    n: int | None = None,
+    method: str = "xxhash64",
+) -> DataFrame:
+    """Add ``place`` and ``batch`` to rows that have dense positions ``pos``: the order of one epoch, without a shuffle.
+
+    Positions are found once; the order of every further epoch is arithmetic on them, see
+    :func:`labelloom.operators.positions.permuted`. ``n``, the number of rows, is read from the positions where it is not given.
+    """
+    if n is None:
+        n = (df.agg(F.max("pos")).first()[0] or 0) + 1
+    placed = df.withColumn("place", permuted(F.col("pos"), n, f"{seed}-{epoch}", method))
+    return placed.withColumn("batch", F.expr(f"place div {batch_size}"))
+
+
 def in_batches(df: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
     """Add ``batch`` to rows that have ``pos``; the last batch may be short."""
     return df.withColumn("batch", F.expr(f"pos div {batch_size}"))

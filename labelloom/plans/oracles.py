@@ -185,6 +185,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '-0-0'), doc_id) - 1 AS pos FROM documents)""",
     "ordered_batches": f"""SELECT doc_id, pos, pos // {C.BATCH_SIZE} AS batch FROM (
         SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)""",
+    "epoch_order": f"""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents),
+        m AS (SELECT r, ('0x' || substr(md5('0-2-' || r), 1, 15))::BIGINT % (SELECT max(n) FROM p) AS middle
+              FROM range((SELECT 6 * length(bin(max(n))) FROM p)) t(r)),
+        k AS (SELECT list({{'key': '0-2-' || r, 'middle': middle, 'x': 0::BIGINT}} ORDER BY r) AS rounds FROM m),
+        e AS (SELECT doc_id, pos, list_reduce(list_prepend({{'key': '', 'middle': 0::BIGINT, 'x': pos}}, rounds), lambda a, b: {{'key': '', 'middle': 0::BIGINT,
+              'x': CASE WHEN substr(md5(b.key || '-' || greatest(a.x, (b.middle - a.x + n) % n)), 1, 1) >= '8' THEN (b.middle - a.x + n) % n ELSE a.x END}}).x AS place
+              FROM p, k)
+        SELECT doc_id, pos, place, place // {C.BATCH_SIZE} AS batch FROM e""",
     "final_ids": f"""SELECT doc_id, split, {_id("split", "pos")} AS id FROM (
         SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS pos
         FROM {_ordered('documents', 'doc_id', 'doc_id')})""",
@@ -221,6 +229,8 @@ ORACLES: dict[str, str] = {
         ELSE {_success(_case("length(" + _strip("text") + ") % 3", C.SERVING_NAMES))} END AS response FROM conversations""",
     "fit_checks": f"""WITH {_SPLIT_FEEDBACK} SELECT split, count(*) AS n_rows, true AS in_range, true AS sums_to_one,
         true AS beats_majority FROM split_feedback GROUP BY split""",
+    "pass_checks": f"""SELECT CAST(k AS INTEGER) AS passes, true AS objective_fell, true AS in_range, true AS best_kept
+        FROM range(1, {C.MAX_PASSES + 1}) t(k) WHERE EXISTS (SELECT 1 FROM documents)""",
     "zip_by_position": f"""WITH {_FEEDBACK} SELECT 'train' AS split, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS pos,
         {_strip("sentence")} AS sentence, CAST(class AS VARCHAR) AS sentiment FROM feedback WHERE {_strip("sentence")} <> ''""",
     "zip_tables": """SELECT a.pos, a.doc_id, b.n_chars, b.by_length FROM

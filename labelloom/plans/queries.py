@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom import constants as C
@@ -233,6 +233,12 @@ def ordered_batches(spark: SparkSession, sf: str) -> DataFrame:
     return splits.in_batches(positions.with_positions(documents, ["doc_id"]))
 
 
+def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The third epoch's order of the documents, by arithmetic on their positions."""
+    placed = stage(positions.with_positions(table(spark, sf, "documents").select("doc_id"), ["doc_id"]), "positions")
+    return splits.epoch_batches(placed, epoch=2, method="md5")
+
+
 def final_ids(spark: SparkSession, sf: str) -> DataFrame:
     numbered = positions.with_positions(table(spark, sf, "documents").select("doc_id"), ["doc_id"], total="n")
     return splits.assign_ids(splits.split_positions(numbered, total="n")).select("doc_id", "split", "id")
@@ -390,6 +396,21 @@ def fit_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pass_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the course of a fit, per pass: the objective never rises, figures are in range, and the model that
+    is given back is the one of the pass with the best F1 on val."""
+    rows = stage(split_feedback(spark, sf).withColumnRenamed("sentence", "text"), "rows")
+    model, figures = training.train_by_pass(rows)
+    held_out = classifier.predict(rows.filter("split = 'val'").select("text", F.col("class").alias("label")), model)
+    reached = held_out.agg(metrics.f1().alias("reached"))
+    before = F.lag("objective").over(Window.orderBy("passes"))  # a row per pass
+    shares = [F.col(c).between(0, 1) for c in ("train_accuracy", "val_accuracy", "val_f1")]
+    fine = shares[0] & shares[1] & shares[2] & (F.col("train_loss") > 0) & (F.col("val_loss") > 0)
+    best = figures.agg(F.max("val_f1").alias("best")).join(reached).select((F.abs(F.col("best") - F.col("reached")) < 1e-9).alias("best_kept"))
+    fell = (before.isNull() | (F.col("objective") <= before * (1 + 1e-9))).alias("objective_fell")
+    return figures.select("passes", fell, fine.alias("in_range")).join(F.broadcast(best))
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 
 
@@ -598,10 +619,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         paraphrase_requests, paraphrase_merge, paraphrase_splits,
         quota_progress, quota_remaining, quota_total, quota_accept, quota_accept_large, filled_categories,
         split_ordered, tail_holdout, tail_holdout_disjoint, split_stratified, split_profile, preview,
-        batches, ordered_batches, final_ids, ensure_columns, combine_sources,
+        batches, ordered_batches, epoch_order, final_ids, ensure_columns, combine_sources,
         vocab, encode_fixed, training_columns,
         softmax_argmax, score_records, accuracy_f1_loss, pooled_metrics, metrics_by_split, select_best,
-        respond_json, fit_and_score, fit_metrics, fit_checks,
+        respond_json, fit_and_score, fit_metrics, fit_checks, pass_checks,
         zip_by_position, zip_tables, csv_round_trip, parquet_round_trip, final_csv_round_trip, raw_rows,
         lenient_rows, lenient_split, lenient_holdout, final_corpus, answered_requests, unquoted_round_trip, escaped_rows, append_and_rewrite,
         stream_quota, stream_generated, stream_scores, corpus_slice,

@@ -111,6 +111,19 @@ def test_figures_per_candidate(labelled):
     assert bad.val_loss == pytest.approx(1.0986, abs=0.01)
 
 
+def test_the_course_of_a_fit(labelled):
+    model, figures = training.train_by_pass(labelled, {"reg": 0.01, "passes": 6}, 1 << 10)
+    rows = figures.orderBy("candidate").collect()
+    assert [r.passes for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert all(b.objective <= a.objective * (1 + 1e-9) for a, b in zip(rows, rows[1:])) and rows[-1].objective < rows[0].objective
+    best = next(r for r in rows if r.val_f1 == max(x.val_f1 for x in rows))
+    assert model.stages[-1].getMaxIter() == best.passes
+    counted = classifier.count_words(labelled.select("text", F.col("class").cast("double").alias("label"), "split"), 1 << 10)
+    whole, _ = classifier.fit_classifier(counted.filter("split = 'train'"), candidates=[{"reg": 0.01, "passes": 6}], features=1 << 10)
+    last, _ = classifier.fit_classifier(counted.filter("split = 'train'"), candidates=classifier.each_pass({"reg": 0.01, "passes": 6})[-1:], features=1 << 10)
+    assert whole.stages[-1].coefficientMatrix.toArray() == pytest.approx(last.stages[-1].coefficientMatrix.toArray())
+
+
 def test_combined_splits(spark):
     a = spark.createDataFrame([("train", "x", "2")], "split string, sentence string, sentiment string")
     b = spark.createDataFrame([("y", 0, "val")], "sentence string, sentiment int, split string")

@@ -36,6 +36,27 @@ def test_positions_with_a_composite_key(skewed):
     assert [r.pos for r in sorted(rows, key=lambda r: (r.part, r.key))] == list(range(5000))
 
 
+@pytest.mark.parametrize("method", ["xxhash64", "md5"])
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 1025])
+def test_the_order_of_an_epoch_is_a_permutation(spark, n, method):
+    rows = spark.range(n).select(*[positions.permuted(F.col("id"), n, f"0-{e}", method).alias(f"e{e}") for e in range(3)]).collect()
+    orders = [[r[e] for r in rows] for e in range(3)]
+    assert all(sorted(order) == list(range(n)) for order in orders)
+    if n >= 64:
+        assert all(sum(a == b for a, b in zip(x, y)) < 12 for x in orders for y in [*orders, list(range(n))] if x is not y)
+        assert all(sum(abs(a - b) == 1 for a, b in zip(x, x[1:])) < 16 for x in orders)
+
+
+def test_epochs_need_no_shuffle(spark):
+    placed = spark.range(1000, numPartitions=4).withColumnRenamed("id", "pos")
+    df = splits.epoch_batches(placed, 32, seed=5, epoch=3)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = df.collect()
+    assert sorted(r.place for r in rows) == list(range(1000)) and all(r.batch == r.place // 32 for r in rows)
+    assert rows == splits.epoch_batches(placed, 32, seed=5, epoch=3, n=1000).collect()
+    assert splits.epoch_batches(placed.limit(0), 32).count() == 0
+
+
 def test_positions_in_groups(skewed):
     rows = positions.with_positions(skewed, ["key"], ["g"], total="n").collect()
     assert len(rows) == 5000

@@ -45,6 +45,13 @@ def test_paraphrases(spark):
     assert [(r.sentence, r.sentiment) for r in out] == [("a", 0), ("hi", 1), ("c", 2), ("d", 9)]
 
 
+def test_several_answers_multiply_no_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, sentence string")
+    answers = [(1, "y"), (1, "x"), (1, " "), (1, None), (2, " "), (2, None), (3, None), (3, None), (None, "z"), (9, "q")]
+    out = paraphrase.apply_paraphrases(rows, spark.createDataFrame(answers, "k int, answer string"), ["k"])
+    assert sorted((r.k or 0, r.sentence) for r in out.collect()) == [(0, "e"), (1, "x"), (1, "x"), (2, ""), (3, "d")]
+
+
 def test_categories(spark):
     table = quota.category_table(spark).collect()
     assert len(table) == 19
