@@ -208,7 +208,7 @@ def test_one_text_with_very_many_secrets(spark):
     start = time.monotonic()
     rows = {r.doc_id: r for r in secret_scans.digest(secret_scans.scanned(df)).collect()}
     masked = {r.doc_id: r.text for r in secret_scans.masked(df).collect()}
-    assert time.monotonic() - start < 60
+    assert time.monotonic() - start < 240  # 48 s with 8 threads; in quadratic time it would be some 20 minutes
     for i, text in enumerate(texts):
         base = base_spans(text)
         assert (rows[i].n_hex, rows[i].n_assign) == (50_000, 50_000)
