@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +25,25 @@ def test_vocab(spark, texts):
     assert [tuple(r) for r in vocab.orderBy("id").collect()] == [("zz", 9, 4), ("a", 2, 5), ("b", 2, 6), ("c", 2, 7)]
 
 
+@pytest.mark.parametrize("per_word", [32, 2, 1])
+def test_vocab_by_buckets(spark, monkeypatch, per_word):
+    """The words of a plain count, also where crowded buckets make a second count necessary; few words are counted singly."""
+    monkeypatch.setattr(features, "_BUCKETS", per_word)
+    rng, counted, inner = random.Random(per_word), [], features._counted
+    monkeypatch.setattr(features, "_counted", lambda *a: counted.append(inner(*a)) or counted[-1])
+    rows = [(" ".join(f"w{int(rng.paretovariate(0.6)) % 9000}" for _ in range(60)),) for _ in range(500)] + [(None,), ("",), ("hot " * 20_000,)]
+    df = spark.createDataFrame(rows, "text string").repartition(6)
+    plain = Counter(w for (text,) in rows for w in (text or "").split())
+    for size in (1, 7, 60, 10**5):
+        expected = sorted(plain.items(), key=lambda one: (-one[1], one[0]))[:size]
+        found = features.build_vocab(df, size).orderBy("id").collect()
+        assert [(r.token, r.n) for r in found] == expected and [r.id for r in found] == list(range(4, 4 + len(expected)))
+        if per_word == 32 and size <= 60:
+            assert sum(c.count() for c in counted) < len(plain) / 4
+        counted.clear()
+    assert features.build_vocab(df.filter("text = ''"), 5).count() == features.build_vocab(df, 0).count() == 0
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_encode(spark, texts, small, monkeypatch):
     """Also with a vocabulary that is not broadcast, but for its most frequent word."""
