@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelloom.operators.joins import broadcast_if_small, join_null_safe
+from labelloom.operators.joins import join_heavy_apart, join_null_safe
 from labelloom.operators.positions import chunk_of, hash_of
 from labelloom.staging import stage
 
@@ -67,7 +67,7 @@ def _keys_at(rows: DataFrame, by: Sequence[str], names: Sequence[str], with_rank
 def _with(rows: DataFrame, by: Sequence[str], table: DataFrame) -> DataFrame:
     """Rows of the groups in a staged table, with its other columns. Without groups that table has one row."""
     if by:
-        return join_null_safe(rows, broadcast_if_small(table), by)
+        return join_heavy_apart(rows, table, by)
     return rows.withColumns({c: table.select(c).scalar() for c in table.columns})
 
 
@@ -183,7 +183,7 @@ def attach_cuts(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Make the cuts of each row's group available as columns: a join, or a scalar subquery without groups."""
     if group_by:
-        return join_null_safe(df, cuts, group_by), {name: F.col(name) for name in names}
+        return join_heavy_apart(df, cuts, group_by), {name: F.col(name) for name in names}
     return df, {name: cuts.select(name).scalar() for name in names}
 
 

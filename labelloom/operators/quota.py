@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelloom import constants as C
 from labelloom.functions import text as T
 from labelloom.operators.cuts import range_cuts
-from labelloom.operators.joins import broadcast_if_small
+from labelloom.operators.joins import join_heavy_apart
 from labelloom.staging import stage
 
 KEYS = ("category", "label")
@@ -58,16 +58,17 @@ def accept_to_quota(
     last key each category accepts is found by counting, see :func:`labelloom.operators.cuts.range_cuts`, and
     the rows themselves are filtered without a shuffle.
     """
-    remaining = stage(remaining, "remaining")  # a row per category, used more than once
+    # a row per category, used more than once; rows without a category fill none
+    remaining = stage(remaining.dropna(subset=list(keys)), "remaining")
     # The row is carried whole, so that its columns may have any names. Two arrival columns at least make the key a
     # struct, so that a NULL arrival differs from no cut at all.
     own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     names, order = [f"_k{i}" for i in range(len(keys))], [f"_a{i}" for i in range(len(arrival) + 1)]
     place = [F.col(a).alias(n) for a, n in zip(arrival, order)] + [F.lit(0).alias(order[-1])]
-    limits = broadcast_if_small(remaining.select(*own, F.col("remaining").alias("_open")))
+    limits = remaining.select(*own, F.col("remaining").alias("_open"))
     # The last accepted position of each category; past the end, while it stays open, there is no key.
-    asked = batch.select(*own, *place).join(limits, names)
+    asked = join_heavy_apart(batch.select(*own, *place), limits, names)
     cuts = range_cuts(asked, order, {"_last": lambda n: F.col("_open") - 1}, [*names, "_open"])
     rows = batch.select(*own, F.struct(*place).alias("_place"), F.struct(*batch.columns).alias("_row"))
-    rows = rows.join(broadcast_if_small(cuts.select(*names, "_last")), names)
+    rows = join_heavy_apart(rows, cuts.select(*names, "_last"), names)
     return rows.filter(F.col("_last").isNull() | (F.col("_place") <= F.col("_last"))).select("_row.*")
