@@ -19,7 +19,7 @@ from labelloom.functions import text as T
 from labelloom.operators import classifier, features, generated, metrics, paraphrase, positions, quota, splits, tables
 from labelloom.plans import corpus, scoring, training
 from labelloom.sources import csv, lines, sinks
-from labelloom.staging import new_path, stage
+from labelloom.staging import hadoop_path, new_path, stage
 from labelloom.streaming.quota import stream_accept_rows, stream_accept_to_quota
 from labelloom.streaming.scoring import stream_score
 
@@ -558,8 +558,12 @@ def append_and_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream. A folder of files is its own path; a single file can only be named within the folder it is in."""
+    source = spark.readStream.schema(table(spark, sf, name).schema)
+    path, files = hadoop_path(spark, f"{sf}/{name}.parquet")
+    if files.getFileStatus(path).isDirectory():
+        return source.parquet(f"{sf}/{name}.parquet")
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def stream_quota(spark: SparkSession, sf: str) -> DataFrame:

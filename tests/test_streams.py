@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators.quota import progress
-from labelloom.plans.queries import letter_model
+from labelloom.plans.queries import answered_requests, letter_model, stream_quota, stream_scores
 from labelloom.plans.scoring import answer_requests
 from labelloom.sources.sinks import append_with_header
 from labelloom.staging import shared_folder
@@ -135,3 +135,20 @@ def test_scores(spark, folders):
     assert got == want
     assert json.loads(got[1])["data"] == {"classify": "Tiêu cực"}
     assert json.loads(got[2])["status"] == json.loads(got[4])["status"] == "error"
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_queries_stream_a_table_that_is_a_file_or_a_folder(spark, tmp_path, files):
+    """Beside other tables: 0 files stand for a table that is one file itself, more for a folder of that many."""
+    said = spark.createDataFrame([(i, 0, "aaa b" if i % 2 else " ") for i in range(30)], "conv_id long, turn long, text string")
+    kinds = F.element_at(F.array(*map(F.lit, ("click", "view"))), F.col("id").cast("int") % 2 + 1)
+    events = spark.range(40).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), kinds.alias("event_type"), F.lit("{}").alias("props"))
+    for name, rows in (("conversations", said), ("events", events), ("documents", said)):
+        rows.repartition(max(files, 1)).write.parquet(folder := str(tmp_path / ("tables" if files else "parts") / f"{name}.parquet"))
+        if not files:
+            (tmp_path / "tables").mkdir(exist_ok=True)
+            shutil.copy(next(Path(folder).glob("part-*")), tmp_path / "tables" / f"{name}.parquet")
+    sf = str(tmp_path / "tables")
+    got = sorted(tuple(r) for r in stream_scores(spark, sf).collect())
+    assert len(got) == 30 and got == sorted(tuple(r) for r in answered_requests(spark, sf).collect())
+    assert sorted(r.event_id for r in stream_quota(spark, sf).collect()) == list(range(40))
