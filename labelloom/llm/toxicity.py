@@ -23,7 +23,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,6 +217,20 @@ def _strongest(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def _numbers(tokens: str, vocabulary: Sequence[str]) -> Column:
+    """The numbers of those tokens of each row that the vocabulary has, a list as the tokens are: a row stays one row."""
+
+    def found(lists: pa.Array) -> pa.Array:
+        flat = pc.list_flatten(lists)
+        at = pc.index_in(flat, pa.array(vocabulary, flat.type))
+        sizes = np.bincount(pc.list_parent_indices(lists).filter(at.is_valid()).to_numpy(), minlength=len(lists))
+        out = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), at.drop_null())
+        free_unused()
+        return out
+
+    return F.arrow_udf(found, T.ArrayType(T.IntegerType()))(tokens)
+
+
 def _fitted(rows: DataFrame) -> Chain:
     """A chain fitted in the driver on the chosen features of the staged rows."""
     strongest = _strongest(rows).collect()  # MOST_FEATURES rows for each of a few models
@@ -224,9 +239,7 @@ def _fitted(rows: DataFrame) -> Chain:
     chosen: dict[tuple[int, int | None], list[int]] = {}
     for r in strongest:
         chosen.setdefault((r["model"], r["fold"]), []).append(number[r["t"]])
-    known = rows.sparkSession.createDataFrame(list(number.items()) or [("", 0)], "t string, f int")
-    found = rows.select("_row", F.explode("tokens").alias("t")).join(F.broadcast(known), "t").groupBy("_row").agg(F.collect_list("f").alias("f"))
-    found = stage(rows.drop("tokens").join(found, "_row", "left").withColumn("f", F.coalesce("f", F.array().cast("array<int>"))), "features")
+    found = stage(rows.withColumn("f", _numbers("tokens", vocabulary)).drop("tokens"), "features")
     share = min(1.0, MOST_ENTRIES / max(found.agg(F.sum(F.size("f"))).first()[0] or 0, 1))
     if share < 1:
         found = found.filter(F.pmod(F.xxhash64("_id", F.lit("entries")), F.lit(10**12)) < int(share * 10**12))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import licenses, quality, secret_scans, toxicity, warc
-from labelloom.staging import new_path
+from labelloom.staging import new_path, stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -96,6 +96,25 @@ def test_the_chain_finds_held_out_toxic_texts(spark):
     assert all(0 <= by[i].p_toxic_prose <= 1 for i in range(900))
 
 
+def test_features_of_a_large_group_of_copies_stay_one_row_for_each_text(spark, monkeypatch):
+    """The features come from the list of tokens in place, not from a row for each token that is joined and gathered again."""
+    copied = " ".join(f"word{i}" for i in range(300))
+    rows = [(i, copied if i % 4 else f"text{i % 40} other{i % 8}", int(i % 3 == 0)) for i in range(400)] + [(400, "", 0)]
+    staged = {}
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: staged.setdefault(name, stage(staged.setdefault(name + "-plan", df), name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.train(docs.drop("toxic"), docs.select("doc_id", F.lit(1).alias("quality"), "toxic"))
+    plan = staged["features-plan"]._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|Generate|Exchange", plan)
+    found = {r["_id"]: r["f"] for r in staged["features"].collect()}
+    words = {r["_id"]: r["tokens"] for r in staged["training"].collect()}
+    known = {t for r in staged["token-counts"].collect() for t in [r["t"]]}
+    assert len(found) == 401 and found[400] == []
+    assert len(found[1]) == len(known.intersection(words[1])) >= 300 and found[1] == found[2]
+    assert 0 < len(found[0]) == len(known.intersection(words[0])) and not set(found[0]) & set(found[1])
+    assert chain.probabilities(copied)
+
+
 def test_the_deciding_link_is_fed_by_the_others():
     """Neither word of the first links tells the last category on its own features: it takes the earlier probabilities."""
     rng = np.random.default_rng(3)
