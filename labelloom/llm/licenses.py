@@ -95,6 +95,12 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _kept(value: Column, test) -> Column:
+    """To be selected: the value, for the rows where it passes the test. It is worked out once; a filter on a column would be
+    moved below the expression that makes the column, which is then evaluated in both places."""
+    return F.explode(F.filter(F.array(value), test))
+
+
 def _runs(found: Column, n: int) -> Column:
     """Runs of n words, joined. Fewer words have none."""
 
@@ -108,8 +114,9 @@ def _runs(found: Column, n: int) -> Column:
 
 def grams(found: Column) -> Column:
     """Words and pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), found, lambda b, a: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(found) > 1, F.concat(found, F.filter(pairs, lambda p: p.isNotNull()))).otherwise(found)
+    last = F.greatest(F.size(found) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(found, 1, last), F.slice(found, 2, last), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(found) > 1, F.concat(found, pairs)).otherwise(found)
 
 
 def _featured(rows: DataFrame) -> DataFrame:
@@ -127,13 +134,24 @@ def notices(spark: SparkSession) -> DataFrame:
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, paragraph, _words``: the lines of each text that have a word, numbered from 0 among all its lines."""
-    rows = docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(whole_text(docs, text), "\n", -1)).alias("paragraph", "_line"))
-    return rows.select("doc_id", "paragraph", words(F.col("_line")).alias("_words")).filter(F.size("_words") > 0)
+    found = _kept(words(F.col("_line")), lambda w: F.size(w) > 0)
+    return _lines(docs, id_col, text).select("doc_id", "paragraph", found.alias("_words"))
+
+
+def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(whole_text(docs, text), "\n", -1)).alias("paragraph", "_line"))
+
+
+def count_paragraphs(docs: DataFrame, text: str = "text") -> int:
+    """The number of rows of ``paragraphs``. A line has a word if it has a letter or digit, so words need not be cut for it."""
+    line = F.explode(F.split(whole_text(docs, text), "\n", -1)).alias("_line")
+    return docs.select(line).filter(F.lower("_line").rlike("[\\p{L}\\p{N}]")).count()
 
 
 def stretches(found: Column) -> Column:
     """Runs of words, as arrays, between the first and last of word triples of notices that lie together; see ``APART``."""
     known = _triples()
+    middles = sorted({t.split(" ")[1] for t in known})
     none = F.array().cast("array<array<string>>")
 
     def cut(both: Column) -> Column:
@@ -149,7 +167,8 @@ def stretches(found: Column) -> Column:
 
     def search(all_words: Column) -> Column:
         triple = lambda i: F.concat_ws(" ", *[F.get(all_words, i + k) for k in (-1, 0, 1)])
-        at = F.filter(F.sequence(F.lit(1), F.size(all_words) - 2), lambda i: triple(i).isin(known))
+        # most words stand in the middle of no such triple; only around the others one is put together
+        at = F.filter(F.sequence(F.lit(1), F.size(all_words) - 2), lambda i: F.get(all_words, i).isin(middles) & triple(i).isin(known))
         return _with(F.struct(at.alias("at"), all_words.alias("words")), lambda both: F.when(F.size(both["at"]) > 0, cut(both)).otherwise(none))
 
     return F.when(F.size(found) > 2, _with(found, search)).otherwise(none)
@@ -183,7 +202,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Scanne
     runs = runs.filter(keep | (F.col("_n") >= F.col("_whole") - 2))
     held = F.pmod(F.xxhash64(F.array_join("_words", " ")), F.lit(HELD_OUT)) == 0
     lines = paragraphs(docs, id_col, text)
-    total = max(lines.count(), 1)
+    total = max(count_paragraphs(docs, text), 1)
     chosen = F.pmod(F.xxhash64("doc_id", "paragraph", "_words"), F.lit(10**12)) < int(min(1.0, MOST_OTHER / total) * 10**12)
     foreign = ~F.arrays_overlap(_runs(F.col("_words"), 3), F.array(*[F.lit(t) for t in _triples()]))
     other = lines.filter(chosen).filter(foreign).select(F.lit(0.0).alias("label"), "_words", held.alias("held"))
@@ -226,9 +245,10 @@ def scanned(docs: DataFrame, scanner: Scanner | None = None, id_col: str = "doc_
     rows = _featured(rows.select("_row", "doc_id", "paragraph", F.col("_part.whole").alias("_whole"), F.col("_part.words").alias("_words")))
     sure = vector_to_array("_probability")
     rows = scanner.model.transform(rows).select("_row", "_whole", "doc_id", "paragraph", "_words", sure.alias("_p"))
+    licence = lambda p: (F.array_position(p, F.array_max(p)) > 1) & (1 - p[0] >= scanner.least)
+    rows = rows.select("_row", "_whole", "doc_id", "paragraph", "_words", _kept(F.col("_p"), licence).alias("_p"))
     best = F.array_max("_p")
     rows = rows.withColumns({"probability": best, "_k": (F.array_position("_p", best) - 1).cast("int")})
-    rows = rows.filter((F.col("_k") > 0) & (1 - F.col("_p")[0] >= scanner.least))
     rows = rows.select("_row", "_whole", "doc_id", "paragraph", "_words", "probability", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("_k") + 1).alias("guess"),
                        F.element_at(F.array(*map(F.lit, scanner.limits)), F.col("_k") + 1).alias("_limit"))
     # a row per family, fixed

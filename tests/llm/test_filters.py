@@ -349,6 +349,42 @@ def test_licences_inside_longer_lines(spark):
     assert not [x for x in found if x[0] == 6000]
 
 
+def test_words_and_probabilities_are_worked_out_once(spark):
+    """No filter repeats the splitting of lines or the model; both cost most of a scan."""
+    notice = licenses.NOTICES["MIT"][0]
+    docs = spark.createDataFrame([(i, f"some other line {i} of text\n{notice}") for i in range(60)], "doc_id long, text string")
+    found = licenses.scanned(docs, licenses.train(docs))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("+- BroadcastExchange")[0].splitlines()
+    assert [line.count("UDF(") for line in plan if "UDF(" in line] == [4]  # hashing, margins, probabilities, their array
+    assert sum(line.count("(lower(") for line in plan) == 1
+    assert {(r.doc_id, r.paragraph, r.family) for r in found.collect()} == {(i, 1, "MIT") for i in range(60)}
+
+
+def test_lines_with_words_and_stretches(spark):
+    """Against plain Python: lines that hold a word, their number, and the runs around word triples of notices."""
+    known = set(licenses._triples())
+    cut = re.compile(r"[^\w.]+|[.](?!\d)")
+    parts = ["", " ", ".", "...", "-- !", ".5", "v1.0", "\t\r", "Ä ö. Ü", "the of to", "Licensed under the MIT License.", "mit License file MIT license", "x", "٣", "Ⅷ", "½"]
+    rng = random.Random(5)
+    sentences = [n for v in licenses.NOTICES.values() for n in v]
+    rows = [(i, "\n".join(rng.choice([*parts, " ".join([rng.choice(parts), *rng.choice(sentences).split()[: rng.randint(1, 9)], rng.choice(parts), *rng.choice(sentences).split()[-3:]])]) for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (200, None)], "doc_id long, text string")
+    got = licenses.paragraphs(docs).withColumn("stretches", licenses.stretches(F.col("_words"))).collect()
+    assert len(got) == licenses.count_paragraphs(docs) > 500
+    want = {(i, k): w for i, text in rows for k, line in enumerate(text.split("\n")) if (w := [x for x in cut.split(line.lower()) if x])}
+    assert {(r.doc_id, r.paragraph): r["_words"] for r in got} == want
+
+    def runs(found):
+        at, out = [i for i in range(len(found) - 2) if " ".join(found[i : i + 3]) in known], []
+        for apart in licenses.APART:
+            first = [a for j, a in enumerate(at) if j == 0 or a - at[j - 1] > apart]
+            last = [a for j, a in enumerate(at) if j == len(at) - 1 or at[j + 1] - a > apart]
+            out += [p for p in zip(first, last) if p not in out]
+        return [found[a : b + 3] for a, b in out]
+
+    assert all(r.stretches == runs(r["_words"]) for r in got) and sum(len(r.stretches) for r in got) > 100
+
+
 def test_a_page_id_with_two_payloads_keeps_both(spark):
     a, b = "a" * 1000, "b" * 2000
     rows = [(7, "u", a), (7, "u", b), (9, "u", a), (11, "u", b), (11, "u", a + "c"), (None, "u", a), (7, "u", b)]
